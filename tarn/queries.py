@@ -280,12 +280,8 @@ def _nothing(spark):
 
 @query("SELECT key, member, arg_max(score, seq) AS score FROM adds WHERE score >= 20 GROUP BY key, member", "adds")
 def zadd_dslt(spark, d):
-    cmds = adds(spark, d).select("seq", "key", "member", "score", F.lit(20.0).alias("dslt"))
-    # one threshold for all: its expiry after the last command does the work of all before it
-    last = cmds.groupBy("key").agg(F.max("seq").alias("end"))
-    cmds = cmds.join(F.broadcast(last), "key")
-    plain = cmds.where("score >= dslt").select("seq", "key", "member", "score")
-    return mutate.fold(_nothing(spark), plain).select("key", "member", "score")
+    # one threshold for all commands: what they leave out is never there to expire
+    return mutate.last_wins(adds(spark, d).where("score >= 20")).select("key", "member", "score")
 
 
 @query("SELECT key, member, round(sum(score), 4) AS score FROM adds WHERE score > 5 GROUP BY key, member", "adds")
