@@ -115,10 +115,12 @@ def _postings(rank, bucket_bits: int):
             held, count = [], 0
             rows = {}
             for kind, x in enumerate((hubs, members)):
+                if not len(x):
+                    continue
                 at = (x["h"] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(x), dtype=np.int64)
                 by = np.argsort(at, kind="stable")
                 x, at = x[by], at[by]
-                low = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(x) else []
+                low = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 for a, b in zip(low, [*low[1:], len(x)], strict=True):
                     rows.setdefault(int(at[a]), [b"", b""])[kind] = x[a:b].tobytes()
             k = sorted(rows)

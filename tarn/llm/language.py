@@ -80,9 +80,9 @@ class LanguageModel:
                 self.bias -= step * 0.1 * p
                 self.emb[at] -= step * 20 * share[:, None] * back
         self.table = (self.emb @ self.out).astype(np.float64)
-        logits = np.array([(n / max(1, n.sum())) @ self.table[at] + self.bias for at, n, _ in held]).reshape(-1, len(self.labels))
-        truth = np.array([y for *_, y in held], dtype=int)
-        if len(held):
+        if held:
+            logits = np.array([(n / max(1, n.sum())) @ self.table[at] + self.bias for at, n, _ in held])
+            truth = np.array([y for *_, y in held], dtype=int)
             loss = {t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in np.geomspace(0.2, 5, 41)}
             self.temperature = min(loss, key=loss.get)
             self.least = float(np.quantile(_softmax(logits / self.temperature).max(axis=1), REJECTED))
