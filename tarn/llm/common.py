@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
+#: Whether Spark deletes the shuffle files of a write at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: `\s` of ASCII, as a Java and RE2 class.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -31,10 +34,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """`df` written as a Parquet table in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Once the table is written, nothing needs the shuffles that led to it, so their files go at the end of the write.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import small_batches, staged, table, text_of
 from tarn.llm.components import components
-from tarn.llm.textvec import shingle_set, word_hashes
+from tarn.llm.textvec import shingle_set, shingles, word_hashes
 
 #: Words in a shingle; least similarity in hundredths.
 SHINGLE, LEAST = 5, 75
-#: Counters of how often shingles occur; bits of a signature, and of the filter over rows whose sets are needed.
+#: Counters of how often shingles and words occur; bits of a signature, and of the filter over rows whose sets are needed.
 COUNTERS, BITS, FILTER = 1 << 20, 1024, 1 << 23
 #: Postings that a worker holds before it passes them on, and that one task of the next stage is to get.
 HELD, PER_TASK = 2_000_000, 1_000_000
@@ -23,8 +24,16 @@ HELD, PER_TASK = 2_000_000, 1_000_000
 BLOCK = 512
 
 
+def _words(texts: list[str | None]):
+    return word_hashes([(x or "").encode("utf-8", "surrogatepass").lower() for x in texts])
+
+
 def _sets(texts: list[str | None]):
-    return (shingle_set(w, SHINGLE) for w in word_hashes([(x or "").encode("utf-8", "surrogatepass").lower() for x in texts]))
+    return (shingle_set(w, SHINGLE) for w in _words(texts))
+
+
+def _counter(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(44)).astype(np.int64)
 
 
 def _name(s: np.ndarray) -> int:
@@ -39,43 +48,70 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _measure(batches):
-    """(row, doc_id, text) -> a row for each document, then the counters of the partition."""
-    counters = np.zeros(COUNTERS, dtype=np.int64)
-    names = ["row", "doc_id", "n", "s", "counters"]
+    """(row, doc_id, text) -> a row for each document, then the counters of the partition, of shingles and of words."""
+    counters = np.zeros((2, COUNTERS), dtype=np.int64)
+    names = ["row", "doc_id", "n", "s", "sign", "counters"]
     for batch in batches:
-        n, s = [], []
-        for x in _sets(batch.column(2).to_pylist()):
+        n, s, sign, all_sets, all_words = [], [], [], [], []
+        for w in _words(batch.column(2).to_pylist()):
+            x = shingle_set(w, SHINGLE)
             n.append(len(x))
             s.append(_name(x) if len(x) else None)
-            at, times = np.unique((x >> np.uint64(44)).astype(np.int64), return_counts=True)
-            counters[at] += times
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.nulls(len(n), pa.binary())], names)
+            sign.append(_signature(x) if len(x) else None)
+            all_sets.append(x)
+            all_words.append(w)
+        for k, parts in enumerate((all_sets, all_words)):
+            counters[k] += np.bincount(_counter(np.concatenate(parts)), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(sign, pa.binary()), pa.nulls(len(n), pa.binary())], names)
     if counters.any():
-        import zlib
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([_packed(counters)], pa.binary())], names)
 
-        raw = zlib.compress(np.minimum(counters, 2**31 - 1).astype("<u4").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([raw], pa.binary())], names)
 
+def _packed(counters: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counters, 2**32 - 1).astype("<u4").tobytes(), 1)
 
-def _add_counters(batches):
-    import zlib
 
-    total = np.zeros(COUNTERS, dtype=np.int64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<u4").reshape(2, COUNTERS)
+
+
+def _add_counters(batches):
+    total = np.zeros((2, COUNTERS), dtype=np.int64)
     for batch in batches:
         for x in batch.column(0):
-            total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())], ["counters"])
-
+            total += _unpacked(x.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counters"])
 
-def _frequency(measured: DataFrame) -> np.ndarray:
-    """Rank of each counter's size (powers of 2): a table of COUNTERS bytes, whatever the input. Partial sums meet in at most 64 tasks, then on the driver."""
-    import zlib
 
+def _ranks(measured: DataFrame) -> np.ndarray:
+    """How much each counter of shingles stands out, and how common the words of each counter are: 2 * COUNTERS bytes, whatever the input. Partial sums meet in 16 tasks, then on the driver."""
     parts = measured.where("counters IS NOT NULL").select("counters")
-    total = np.zeros(COUNTERS, dtype=np.int64)
+    total = np.zeros((2, COUNTERS), dtype=np.int64)
     for r in parts.coalesce(16).mapInArrow(_add_counters, "counters binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(r["counters"]), "<u4")
-    return np.ceil(2 * np.log2(total + 1)).astype(np.uint8)
+        total += _unpacked(r["counters"])
+    mean = max(1.0, total[0].mean())
+    out = np.clip(np.floor(4 * np.log2(np.maximum(total[0], 1) / mean)), 0, 31)
+    return np.stack([out, np.clip(np.round(3 * np.log2(total[1] + 1)), 0, 200)]).astype(np.uint8)
+
+
+def _rarest(w: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, its first shingles in an order that is the same for all documents): those that don't stand out as frequent, then of rarer words, then by hash.
+
+    Sets of similarity t share t of the larger one at least, so one of the first n - t * n + 1 of each is common.
+    """
+    all_of = shingles(w, SHINGLE)
+    x, at = np.unique(all_of, return_index=True)
+    n = len(x)
+    most = n - -(-LEAST * n // 100) + 1
+    if most >= n:
+        return x, x
+    common = ranks[1][_counter(w)].astype(np.uint64)
+    size = min(SHINGLE, len(w))
+    total = common[: len(all_of)].copy()
+    for i in range(1, size):
+        total += common[i : len(all_of) + i]
+    key = (ranks[0][_counter(x)].astype(np.uint64) << np.uint64(59)) | (total[at] << np.uint64(49)) | (x >> np.uint64(15))
+    return x, x[np.argpartition(key, most - 1)[:most]]
 
 
 _POSTING = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4")])
@@ -85,10 +121,16 @@ _MEMBER = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<u4"), ("hub", "<i8"), ("
 def _hang(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of postings: (members, hubs). In the tile of a shingle, sets in order of size hang on the first set of their band of sizes, and a band's
     first set on that of the band below, so that a tile stays together; its first hub goes on to meet those of other workers."""
-    p = np.unique(p)
     if not len(p):
         return np.empty(0, _MEMBER), p
+    p = p[np.argsort(p["h"], kind="stable")]
+    same = p["h"][1:] == p["h"][:-1]
+    many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    alone, p = p[~many], p[many]  # most shingles are in one set only
     p = p[np.lexsort((p["s"], p["n"], p["h"]))]
+    p = p[np.concatenate([[True], (p["h"][1:] != p["h"][:-1]) | (p["s"][1:] != p["s"][:-1])])[: len(p)]]
+    if not len(p):
+        return np.empty(0, _MEMBER), alone
     band = np.floor(np.log(p["n"]) / np.log(100 / LEAST)).astype(np.int64)
     new_tile = np.concatenate([[True], p["h"][1:] != p["h"][:-1]])
     new_band = new_tile | np.concatenate([[True], band[1:] != band[:-1]])
@@ -100,7 +142,7 @@ def _hang(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in ("h", "s", "n"):
         out[k] = p[k][hung]
     out["hub"], out["hub_n"] = p["s"][hub[hung]], p["n"][hub[hung]]
-    return out, p[new_tile]
+    return out, np.concatenate([alone, p[new_tile]])
 
 
 def _postings(rank, bucket_bits: int):
@@ -127,16 +169,13 @@ def _postings(rank, bucket_bits: int):
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([rows[i][0] for i in k], pa.binary()), pa.array([rows[i][1] for i in k], pa.binary())], ["bucket", "hubs", "members"])
 
         for batch in batches:
-            for x in _sets(batch.column(0).to_pylist()):
-                n = len(x)
-                if n:
-                    # sets of similarity t share t of the larger one at least: one of these first shingles in any common order
-                    most = n - -(-LEAST * n // 100) + 1
-                    key = (order[(x >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x >> np.uint64(8))
-                    p = np.empty(most, _POSTING)
-                    p["h"], p["s"], p["n"] = x[np.argpartition(key, most - 1)[:most]] if most < n else x, _name(x), n
+            for w in _words(batch.column(0).to_pylist()):
+                if len(w):
+                    x, first = _rarest(w, order)
+                    p = np.empty(len(first), _POSTING)
+                    p["h"], p["s"], p["n"] = first, _name(x), len(x)
                     held.append(p)
-                    count += most
+                    count += len(p)
                     if count >= HELD:
                         yield flush()
         if held:
@@ -171,8 +210,8 @@ def _needed(filter_bits):
             sets = list(_sets([texts[int(i)].as_py() for i in at]))
             keep = [k for k, x in enumerate(sets) if len(x)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[at[keep]]), pa.array([_name(sets[k]) for k in keep], pa.int64()), pa.array([_signature(sets[k]) for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary())],
-                ["row", "s", "sign", "items"],
+                [pa.array(rows[at[keep]]), pa.array([_name(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())],
+                ["row", "s", "items"],
             )
 
     return run
@@ -190,6 +229,15 @@ def _bound(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(na - only_a, nb - only_b)
 
 
+def _allowed(batches):
+    """(a, b, na, nb, signature of a, of b) -> the pairs (a, b) that the signatures allow."""
+    for batch in batches:
+        na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+        sign = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, BITS // 64) for k in (4, 5)]
+        keep = pa.array(np.flatnonzero(_enough(na, nb, _bound(na, nb, *sign))))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+
 def _exact(batches):
     """(a, b, items of a, items of b) -> the similar pairs."""
     for batch in batches:
@@ -206,7 +254,7 @@ def _exact(batches):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The similar ones of pairs (a, b) of set names: signatures first, then exact intersection of the sorted arrays; stored."""
+    """The similar ones of pairs (a, b) of set names, by exact intersection of the sorted arrays; stored."""
     left = sets.select(F.col("s").alias("a"), F.col("items").alias("a_items"))
     right = sets.select(F.col("s").alias("b"), F.col("items").alias("b_items"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_items", "b_items")
@@ -214,15 +262,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def _within(batches):
-    """Sorted rows (h, part, blk, half, s, n, comp, sign) -> pairs in one tile block that no link joins yet and whose size and signature allow one."""
+    """Sorted rows (h, part, blk, half, s, n, comp, sign) -> pairs (a, b, na, nb) in one tile block that no link joins yet and whose size and signature allow one."""
     rest = None
     cols = ["h", "part", "half", "s", "n", "comp"]
 
     def pairs(x, sign):
-        tile = np.cumsum(np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["part"][1:] != x["part"][:-1])])) if len(x) else np.empty(0)
-        out = []
+        tile = np.cumsum(np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["part"][1:] != x["part"][:-1])]))
+        out = [np.empty((4, 0), dtype=np.int64)]
         d = 1
-        while d < len(x):
+        while d < len(tile):
             i = np.flatnonzero(tile[d:] == tile[:-d])
             if not len(i):
                 break
@@ -232,9 +280,15 @@ def _within(batches):
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 ok = _enough(x["n"][p], x["n"][q], _bound(x["n"][p], x["n"][q], sign[p], sign[q]))
-                out.append(np.stack([np.minimum(x["s"][p[ok]], x["s"][q[ok]]), np.maximum(x["s"][p[ok]], x["s"][q[ok]])], axis=1))
+                p, q = p[ok], q[ok]
+                p, q = np.where(x["s"][p] < x["s"][q], p, q), np.where(x["s"][p] < x["s"][q], q, p)
+                out.append(np.stack([x["s"][p], x["s"][q], x["n"][p], x["n"][q]]))
             d += 1
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+        return np.concatenate(out, axis=1)
+
+    def emit(x, sign, cut):
+        got = pairs({c: v[:cut] for c, v in x.items()}, sign[:cut])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["a", "b", "na", "nb"])
 
     for batch in batches:
         x = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(cols)}
@@ -246,27 +300,21 @@ def _within(batches):
         last = np.flatnonzero((x["h"] != x["h"][-1]) | (x["part"] != x["part"][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield _emit(pairs, x, sign, cut)
+            yield emit(x, sign, cut)
         rest = {c: v[cut:] for c, v in x.items()}, sign[cut:]
     if rest is not None and len(rest[1]):
-        yield _emit(pairs, rest[0], rest[1], len(rest[1]))
-
-
-def _emit(pairs, x, sign, cut):
-    rows = np.rec.fromarrays([x[c][:cut] for c in x], names=list(x))
-    got = pairs(rows, sign[:cut])
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        yield emit(*rest, len(rest[1]))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) per row of `docs`.
 
     1. Each text becomes its sorted distinct shingle hashes, whose hash names the set; equal sets are one from here on.
-    2. Every set posts its rarest shingles (by counters over all documents); sets with a common one share a tile. A worker joins what it holds
+    2. Every set posts its rarest shingles (by counters of shingles and words over all documents); sets with a common one share a tile. A worker joins what it holds
        of a tile to one set for each band of sizes and passes on only the first, so a tile that a third of all sets share stays small.
     3. In each tile sets are compared with those they hang on. What links merges; a tile whose sets all are one component is done.
     4. Tiles with several components are compared whole, in blocks: pairs of different components whose sizes and signatures
-       allow a link are intersected exactly. No link between components is lost.
+       allow a link, and that meet in as many tiles as similar sets must, are intersected exactly. No link between components is lost.
 
     Null and empty texts have no shingles and link with nothing; a null id is never the least (a component of null ids alone has null); repeated
     rows share their component; other columns are unread; an empty table gives no rows.
@@ -274,30 +322,37 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    measured = staged(base.mapInArrow(_measure, "row long, doc_id long, n long, s long, counters binary"), "sets")
+    measured = staged(base.mapInArrow(_measure, "row long, doc_id long, n long, s long, sign binary, counters binary"), "sets")
     rows = measured.where("n IS NOT NULL").select("row", "doc_id", "n", "s")
     total = rows.agg(F.sum(F.col("n") * (100 - LEAST) / 100 + 1)).head()[0] or 0
     bits = max(int(np.ceil(np.log2(total / PER_TASK + 1))), int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))))
-    rank = spark.sparkContext.broadcast(_frequency(measured))
+    rank = spark.sparkContext.broadcast(_ranks(measured))
     posted = base.select("text").mapInArrow(_postings(rank, bits), "bucket long, hubs binary, members binary")
     members = staged(posted.repartition(1 << bits, "bucket").mapInArrow(_meet, "h long, s long, n long, hub long, hub_n long"), "members")
-
     first = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("row").alias("row"))
+    signed = measured.where("s IS NOT NULL").select("s", "row", "sign").join(first.hint("merge"), ["s", "row"]).dropDuplicates(["s"])
     in_tiles = members.select("s").union(members.select(F.col("hub").alias("s"))).distinct()
-    wanted = staged(first.join(in_tiles.hint("merge"), "s", "left_semi").select("row"), "wanted")
-    flags = np.zeros(FILTER, dtype=bool)
-    slot = F.expr(f"pmod(row, {FILTER})")
-    for r in wanted.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).toLocalIterator():
-        got = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
-        low = (r["k"] - 1) * 32768 + 1 if r["k"] > 0 else 0
-        flags[low : low + len(got)] |= got[: FILTER - low].astype(bool)
-    shared = spark.sparkContext.broadcast(flags)
-    sets = base.select("row", "text").mapInArrow(_needed(shared), "row long, s long, sign binary, items binary")
-    sets = staged(sets.join(wanted.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select("s", "sign", "items"), "needed-sets")
-
-    fits = f"100 * least(n, hub_n) >= {LEAST} * greatest(n, hub_n)"
-    pairs = members.where(fits).select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b")).where("a != b").distinct()
-    links = _verified(pairs, sets, "links")
+    signs = staged(signed.join(in_tiles.hint("merge"), "s", "left_semi").select("s", "row", "sign"), "signatures")
+
+    def fetch(pairs: DataFrame) -> DataFrame:
+        """The arrays of the sets in pairs, from their texts; a filter of fixed size keeps most other texts out."""
+        names = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
+        wanted = staged(signs.select("s", "row").join(names.hint("merge"), "s", "left_semi").select("row"), "wanted")
+        flags = np.zeros(FILTER, dtype=bool)
+        slot = F.expr(f"pmod(row, {FILTER})")
+        for r in wanted.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).toLocalIterator():
+            got = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
+            low = (r["k"] - 1) * 32768 + 1 if r["k"] > 0 else 0
+            flags[low : low + len(got)] |= got[: FILTER - low].astype(bool)
+        sets = base.select("row", "text").mapInArrow(_needed(spark.sparkContext.broadcast(flags)), "row long, s long, items binary")
+        return staged(sets.join(wanted.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select("s", "items"), "needed-sets")
+
+    one_way = F.when(F.col("s") < F.col("hub"), F.struct(F.col("s").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))).otherwise(F.struct(F.col("hub").alias("a"), F.col("s").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")))
+    pairs = members.where(f"s != hub AND 100 * least(n, hub_n) >= {LEAST} * greatest(n, hub_n)").select(one_way.alias("p")).select("p.*").distinct()
+    sign = lambda side: signs.select(F.col("s").alias(side), F.col("sign").alias(f"sign_{side}")).hint("merge")
+    pairs = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "na", "nb", "sign_a", "sign_b")
+    pairs = staged(pairs.mapInArrow(_allowed, "a long, b long"), "pairs")
+    links = _verified(pairs, fetch(pairs), "links")
     found = components(links)
 
     named = lambda df: df.join(found.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").withColumn("comp", F.coalesce("component", "s")).drop("component")
@@ -311,10 +366,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     part = F.least("blk", "oth") * F.col("blocks") + F.greatest("blk", "oth")
     half = F.when(F.col("blk") == F.col("oth"), F.lit(-1)).otherwise(F.col("blk"))
     todo = todo.select("h", part.cast("long").alias("part"), half.cast("long").alias("half"), "s", "n", "comp")
-    todo = todo.join(sets.select("s", "sign").hint("merge"), "s").select("h", "part", "half", "s", "n", "comp", "sign")
-    more = todo.repartition("h", "part").sortWithinPartitions("h", "part", "n").mapInArrow(_within, "a long, b long").distinct()
-    late = _verified(staged(more, "late-pairs"), sets, "late-links")
-    final = components(links.union(late)) if late.head() is not None else found
+    todo = todo.join(signs.select("s", "sign").hint("merge"), "s").select("h", "part", "half", "s", "n", "comp", "sign")
+    more = todo.repartition("h", "part").sortWithinPartitions("h", "part", "n").mapInArrow(_within, "a long, b long, na long, nb long")
+    # A pair meets once for each posted shingle that both have. Whichever posted list ends first, what else is common comes behind its end.
+    behind = lambda n: F.floor((LEAST * F.col(n) + 99) / 100) - 1
+    more = more.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
+    more = more.where((100 + LEAST) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= LEAST * (F.col("na") + F.col("nb")))
+    more = staged(more.select("a", "b"), "late-pairs")
+    final = components(links.union(_verified(more, fetch(more), "late-links"))) if more.head() is not None else found
 
     ids = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("first_id"))
     of_set = ids.join(final.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").withColumn("comp", F.coalesce("component", "s"))

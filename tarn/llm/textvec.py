@@ -94,8 +94,8 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
 _WEIGHT = mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
 
 
-def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of k words; of all words where they are fewer; none of none."""
+def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
+    """Hashes of the runs of k words, in order; of all words where they are fewer; none of none."""
     n = len(words)
     if n == 0:
         return words
@@ -103,4 +103,9 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     total = np.full(n - size + 1, size, dtype=np.uint64) * _WEIGHT[63]
     for i in range(size):
         total += words[i : n - size + 1 + i] * _WEIGHT[i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
+    """The sorted distinct ones of these hashes."""
+    return np.unique(shingles(words, k))
