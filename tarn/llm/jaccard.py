@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import small_batches, staged, table, text_of
@@ -16,12 +16,12 @@ from tarn.llm.textvec import shingle_set, shingles, word_hashes
 
 #: Words in a shingle; least similarity in hundredths.
 SHINGLE, LEAST = 5, 75
-#: Counters of how often shingles and words occur; bits of a signature, and of the filter over rows whose sets are needed.
-COUNTERS, BITS, FILTER = 1 << 20, 1024, 1 << 23
+#: Counters of how often shingles and words occur; bits of a signature, at most of a long one, and of the filter over rows whose sets are needed.
+COUNTERS, BITS, LONG, FILTER = 1 << 20, 1024, 1 << 17, 1 << 23
 #: Postings that a worker holds before it passes them on, and that one task of the next stage is to get.
 HELD, PER_TASK = 2_000_000, 1_000_000
-#: Sets of a tile that are compared in one block.
-BLOCK = 512
+#: Sets of a tile that are compared in one block; tiles of a set that are known to each of its rows.
+BLOCK, HEADS = 512, 8
 
 
 def _words(texts: list[str | None]):
@@ -41,30 +41,37 @@ def _name(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(s >> np.uint64(20)) % np.uint64(BITS)] = True
+def _signature(s: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.zeros(size, dtype=bool)
+    bits[(s >> np.uint64(20)) % np.uint64(size)] = True
     return np.packbits(bits).tobytes()
 
 
+def _long_signature(s: np.ndarray) -> bytes | None:
+    """Two bits or more for each shingle, where that is more than BITS: a short signature of a long text is full."""
+    size = min(LONG, 1 << (2 * len(s) - 1).bit_length())
+    return _signature(s, size) if size > BITS else None
+
+
 def _measure(batches):
     """(row, doc_id, text) -> a row for each document, then the counters of the partition, of shingles and of words."""
     counters = np.zeros((2, COUNTERS), dtype=np.int64)
-    names = ["row", "doc_id", "n", "s", "sign", "counters"]
+    names = ["row", "doc_id", "n", "s", "sign", "long_sign", "counters"]
     for batch in batches:
-        n, s, sign, all_sets, all_words = [], [], [], [], []
+        n, s, sign, long_sign, all_sets, all_words = [], [], [], [], [], []
         for w in _words(batch.column(2).to_pylist()):
             x = shingle_set(w, SHINGLE)
             n.append(len(x))
             s.append(_name(x) if len(x) else None)
             sign.append(_signature(x) if len(x) else None)
+            long_sign.append(_long_signature(x) if len(x) else None)
             all_sets.append(x)
             all_words.append(w)
         for k, parts in enumerate((all_sets, all_words)):
             counters[k] += np.bincount(_counter(np.concatenate(parts)), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(sign, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(sign, pa.binary()), pa.array(long_sign, pa.binary()), pa.nulls(len(n), pa.binary())], names)
     if counters.any():
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([_packed(counters)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, *[pa.nulls(1, pa.binary())] * 2, pa.array([_packed(counters)], pa.binary())], names)
 
 
 def _packed(counters: np.ndarray) -> bytes:
@@ -229,12 +236,23 @@ def _bound(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(na - only_a, nb - only_b)
 
 
+def _folded(raw: bytes, size: int) -> np.ndarray:
+    """The signature of the same set in `size` bytes, a power of two."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, "<u8").reshape(-1, size // 8), axis=0)
+
+
 def _allowed(batches):
     """(a, b, na, nb, signature of a, of b) -> the pairs (a, b) that the signatures allow."""
     for batch in batches:
         na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-        sign = [np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, BITS // 64) for k in (4, 5)]
-        keep = pa.array(np.flatnonzero(_enough(na, nb, _bound(na, nb, *sign))))
+        signs = [batch.column(k).to_pylist() for k in (4, 5)]
+        size = np.array([min(len(x), len(y)) for x, y in zip(*signs, strict=True)], dtype=np.int64)
+        ok = np.zeros(len(na), dtype=bool)
+        for k in np.unique(size):
+            at = np.flatnonzero(size == k)
+            a, b = (np.stack([_folded(x[i], int(k)) for i in at]) for x in signs)
+            ok[at] = _enough(na[at], nb[at], _bound(na[at], nb[at], a, b))
+        keep = pa.array(np.flatnonzero(ok))
         yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
 
@@ -262,11 +280,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def _within(batches):
-    """Sorted rows (h, part, blk, half, s, n, comp, sign) -> pairs (a, b, na, nb) in one tile block that no link joins yet and whose size and signature allow one."""
+    """Sorted rows (h, part, half, s, n, comp, sign, heads) -> pairs (a, b, na, nb) in one tile block that no link joins yet and whose size and signature allow one.
+
+    `heads` are a set's first tiles in order of h: a pair that shares one of them before this tile was made there and isn't made again.
+    """
     rest = None
     cols = ["h", "part", "half", "s", "n", "comp"]
 
-    def pairs(x, sign):
+    def pairs(x, sign, heads):
         tile = np.cumsum(np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["part"][1:] != x["part"][:-1])]))
         out = [np.empty((4, 0), dtype=np.int64)]
         d = 1
@@ -281,27 +302,31 @@ def _within(batches):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 ok = _enough(x["n"][p], x["n"][q], _bound(x["n"][p], x["n"][q], sign[p], sign[q]))
                 p, q = p[ok], q[ok]
+                met = (heads[p][:, :, None] == heads[q][:, None, :]).any(axis=2) & (heads[p] < x["h"][p][:, None])
+                first = ~met.any(axis=1)
+                p, q = p[first], q[first]
                 p, q = np.where(x["s"][p] < x["s"][q], p, q), np.where(x["s"][p] < x["s"][q], q, p)
                 out.append(np.stack([x["s"][p], x["s"][q], x["n"][p], x["n"][q]]))
             d += 1
         return np.concatenate(out, axis=1)
 
-    def emit(x, sign, cut):
-        got = pairs({c: v[:cut] for c, v in x.items()}, sign[:cut])
+    def emit(x, sign, heads, cut):
+        got = pairs({c: v[:cut] for c, v in x.items()}, sign[:cut], heads[:cut])
         return pa.RecordBatch.from_arrays([pa.array(v) for v in got], ["a", "b", "na", "nb"])
 
     for batch in batches:
         x = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(cols)}
         sign = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u8").reshape(-1, BITS // 64)
+        heads = batch.column(7).flatten().to_numpy().reshape(-1, HEADS)
         if rest is not None:
-            x, sign = {c: np.concatenate([rest[0][c], x[c]]) for c in cols}, np.concatenate([rest[1], sign])
+            x, sign, heads = {c: np.concatenate([rest[0][c], x[c]]) for c in cols}, np.concatenate([rest[1], sign]), np.concatenate([rest[2], heads])
         if not len(x["h"]):
             continue
         last = np.flatnonzero((x["h"] != x["h"][-1]) | (x["part"] != x["part"][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield emit(x, sign, cut)
-        rest = {c: v[cut:] for c, v in x.items()}, sign[cut:]
+            yield emit(x, sign, heads, cut)
+        rest = {c: v[cut:] for c, v in x.items()}, sign[cut:], heads[cut:]
     if rest is not None and len(rest[1]):
         yield emit(*rest, len(rest[1]))
 
@@ -313,8 +338,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     2. Every set posts its rarest shingles (by counters of shingles and words over all documents); sets with a common one share a tile. A worker joins what it holds
        of a tile to one set for each band of sizes and passes on only the first, so a tile that a third of all sets share stays small.
     3. In each tile sets are compared with those they hang on. What links merges; a tile whose sets all are one component is done.
-    4. Tiles with several components are compared whole, in blocks: pairs of different components whose sizes and signatures
-       allow a link, and that meet in as many tiles as similar sets must, are intersected exactly. No link between components is lost.
+    4. In tiles with several components, sets of different ones that are neighbours in an order by hash, another in each tile, are compared: parts of a
+       large group of near copies merge by few pairs.
+    5. Tiles that still have several components are compared whole, in blocks: pairs of different components whose sizes and signatures
+       allow a link are made in the first tile that both sets know of, and intersected exactly. No link between components is lost.
 
     Null and empty texts have no shingles and link with nothing; a null id is never the least (a component of null ids alone has null); repeated
     rows share their component; other columns are unread; an empty table gives no rows.
@@ -322,7 +349,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    measured = staged(base.mapInArrow(_measure, "row long, doc_id long, n long, s long, sign binary, counters binary"), "sets")
+    measured = staged(base.mapInArrow(_measure, "row long, doc_id long, n long, s long, sign binary, long_sign binary, counters binary"), "sets")
     rows = measured.where("n IS NOT NULL").select("row", "doc_id", "n", "s")
     total = rows.agg(F.sum(F.col("n") * (100 - LEAST) / 100 + 1)).head()[0] or 0
     bits = max(int(np.ceil(np.log2(total / PER_TASK + 1))), int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))))
@@ -330,9 +357,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     posted = base.select("text").mapInArrow(_postings(rank, bits), "bucket long, hubs binary, members binary")
     members = staged(posted.repartition(1 << bits, "bucket").mapInArrow(_meet, "h long, s long, n long, hub long, hub_n long"), "members")
     first = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("row").alias("row"))
-    signed = measured.where("s IS NOT NULL").select("s", "row", "sign").join(first.hint("merge"), ["s", "row"]).dropDuplicates(["s"])
+    signed = measured.where("s IS NOT NULL").select("s", "row", "sign", "long_sign").join(first.hint("merge"), ["s", "row"]).dropDuplicates(["s"])
     in_tiles = members.select("s").union(members.select(F.col("hub").alias("s"))).distinct()
-    signs = staged(signed.join(in_tiles.hint("merge"), "s", "left_semi").select("s", "row", "sign"), "signatures")
+    signs = staged(signed.join(in_tiles.hint("merge"), "s", "left_semi").select("s", "row", "sign", "long_sign"), "signatures")
 
     def fetch(pairs: DataFrame) -> DataFrame:
         """The arrays of the sets in pairs, from their texts; a filter of fixed size keeps most other texts out."""
@@ -347,33 +374,51 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets = base.select("row", "text").mapInArrow(_needed(spark.sparkContext.broadcast(flags)), "row long, s long, items binary")
         return staged(sets.join(wanted.hint("merge"), "row", "left_semi").dropDuplicates(["row"]).select("s", "items"), "needed-sets")
 
-    one_way = F.when(F.col("s") < F.col("hub"), F.struct(F.col("s").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb"))).otherwise(F.struct(F.col("hub").alias("a"), F.col("s").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")))
-    pairs = members.where(f"s != hub AND 100 * least(n, hub_n) >= {LEAST} * greatest(n, hub_n)").select(one_way.alias("p")).select("p.*").distinct()
-    sign = lambda side: signs.select(F.col("s").alias(side), F.col("sign").alias(f"sign_{side}")).hint("merge")
-    pairs = pairs.join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "na", "nb", "sign_a", "sign_b")
-    pairs = staged(pairs.mapInArrow(_allowed, "a long, b long"), "pairs")
-    links = _verified(pairs, fetch(pairs), "links")
-    found = components(links)
+    sign = lambda side: signs.select(F.col("s").alias(side), F.coalesce("long_sign", "sign").alias(f"sign_{side}")).hint("merge")
 
-    named = lambda df: df.join(found.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").withColumn("comp", F.coalesce("component", "s")).drop("component")
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of pairs (a, b, na, nb); a < b, in any number."""
+        pairs = pairs.distinct().join(sign("a"), "a").join(sign("b"), "b").select("a", "b", "na", "nb", "sign_a", "sign_b")
+        pairs = staged(pairs.mapInArrow(_allowed, "a long, b long"), f"{name}-pairs")
+        return _verified(pairs, fetch(pairs), f"{name}-links")
+
+    def one_way(s: str, n: str, t: str, m: str) -> list:
+        """(a, b, na, nb) of the sets s and t with n and m shingles."""
+        swap = F.col(s) > F.col(t)
+        return [F.least(s, t).alias("a"), F.greatest(s, t).alias("b"), F.when(swap, F.col(m)).otherwise(F.col(n)).alias("na"), F.when(swap, F.col(n)).otherwise(F.col(m)).alias("nb")]
+
+    def open_tiles(tiles: DataFrame, found: DataFrame) -> DataFrame:
+        """h, s, n, comp, blocks, blk of the tiles (h, s, n) whose sets are of several components; stored."""
+        comp = F.coalesce("component", "s").alias("comp")
+        tiles = staged(tiles.join(found.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").select("h", "s", "n", comp), "tiles")
+        several = tiles.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
+        several = several.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        return staged(tiles.join(several.hint("merge"), "h").withColumn("blk", F.expr("cast(pmod(xxhash64(s), blocks) as int)")), "open-tiles")
+
+    links = linked(members.where(f"s != hub AND 100 * least(n, hub_n) >= {LEAST} * greatest(n, hub_n)").select(*one_way("s", "n", "hub", "hub_n")), "star")
+    found = components(links)
     tiles = members.select("h", "s", "n").union(members.select("h", F.col("hub").alias("s"), F.col("hub_n").alias("n"))).distinct()
-    tiles = staged(named(tiles), "tiles")
-    open_tiles = tiles.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    todo = tiles.join(open_tiles.hint("merge"), "h").withColumn("blk", F.expr("cast(pmod(xxhash64(s), blocks) as int)"))
+    tiles = open_tiles(tiles, found)
+
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / LEAST)))
+    near = Window.partitionBy("h", "blk").orderBy(band, F.xxhash64("h", "s"), "s")
+    beside = tiles.select("s", "n", "comp", *(F.lag(c).over(near).alias(f"{c}_2") for c in ("s", "n", "comp")))
+    beside = beside.where(f"comp != comp_2 AND 100 * least(n, n_2) >= {LEAST} * greatest(n, n_2)").select(*one_way("s", "n", "s_2", "n_2"))
+    links = staged(links.union(linked(beside, "beside")), "links")
+    found = components(links)
+    tiles = open_tiles(tiles.select("h", "s", "n"), found)
+
     # each block meets itself and each other one: the sets of one pair of blocks go to one task
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("oth")
-    todo = todo.select("h", "s", "n", "comp", "blk", "blocks", other)
+    todo = tiles.select("h", "s", "n", "comp", "blk", "blocks", other)
     part = F.least("blk", "oth") * F.col("blocks") + F.greatest("blk", "oth")
     half = F.when(F.col("blk") == F.col("oth"), F.lit(-1)).otherwise(F.col("blk"))
     todo = todo.select("h", part.cast("long").alias("part"), half.cast("long").alias("half"), "s", "n", "comp")
-    todo = todo.join(signs.select("s", "sign").hint("merge"), "s").select("h", "part", "half", "s", "n", "comp", "sign")
+    heads = tiles.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("h")), 1, HEADS).alias("k"))
+    heads = heads.select("s", F.concat("k", F.array_repeat(F.lit(2**63 - 1), F.lit(HEADS) - F.size("k"))).alias("heads"))
+    todo = todo.join(signs.select("s", "sign").join(heads.hint("merge"), "s").hint("merge"), "s").select("h", "part", "half", "s", "n", "comp", "sign", "heads")
     more = todo.repartition("h", "part").sortWithinPartitions("h", "part", "n").mapInArrow(_within, "a long, b long, na long, nb long")
-    # A pair meets once for each posted shingle that both have. Whichever posted list ends first, what else is common comes behind its end.
-    behind = lambda n: F.floor((LEAST * F.col(n) + 99) / 100) - 1
-    more = more.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
-    more = more.where((100 + LEAST) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= LEAST * (F.col("na") + F.col("nb")))
-    more = staged(more.select("a", "b"), "late-pairs")
-    final = components(links.union(_verified(more, fetch(more), "late-links"))) if more.head() is not None else found
+    final = components(links.union(linked(more, "late")))
 
     ids = rows.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("first_id"))
     of_set = ids.join(final.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").withColumn("comp", F.coalesce("component", "s"))
