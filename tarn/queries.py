@@ -197,15 +197,15 @@ def intersect(spark, d):
     return joins.intersect(_ev(spark, d, "click"), _ev(spark, d, "purchase"), _ev(spark, d, "view"))
 
 
-@query("SELECT key, member, score FROM zt a WHERE key = 'ev:click' AND NOT EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:purchase' AND b.member = a.member AND b.score > 100)", "zt")
+@query("SELECT key, member, score FROM zt a WHERE key = 'ev:click' AND NOT EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:purchase' AND b.member = a.member AND b.score > 650)", "zt")
 def notintersect(spark, d):
-    return joins.notintersect(_ev(spark, d, "click"), _ev(spark, d, "purchase").where("score > 100"))
+    return joins.notintersect(_ev(spark, d, "click"), _ev(spark, d, "purchase").where("score > 650"))
 
 
-@query("SELECT key, member, score FROM zt a WHERE key = 'ev:click' AND EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:view' AND b.member = a.member) AND NOT EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:error' AND b.member = a.member AND b.score > 80) ORDER BY score, member LIMIT 20", "zt")
+@query("SELECT key, member, score FROM zt a WHERE key = 'ev:click' AND EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:view' AND b.member = a.member) AND NOT EXISTS (SELECT 1 FROM zt b WHERE b.key = 'ev:error' AND b.member = a.member AND b.score > 600) ORDER BY score, member LIMIT 20", "zt")
 def intersect_mixed(spark, d):
     """The first 20 that pass both filters."""
-    out = joins.notintersect(joins.intersect(_ev(spark, d, "click"), _ev(spark, d, "view")), _ev(spark, d, "error").where("score > 80"))
+    out = joins.notintersect(joins.intersect(_ev(spark, d, "click"), _ev(spark, d, "view")), _ev(spark, d, "error").where("score > 600"))
     return out.orderBy("score", "member").limit(20)
 
 
