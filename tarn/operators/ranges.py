@@ -84,21 +84,24 @@ def zcard(z) -> DataFrame:
 scard = zcard
 
 
-def zrank(z, *, rev=False, max_rank: int = HARD_LIMIT) -> DataFrame:
-    """key, member, rank (from 0) of all members up to max_rank."""
+def zrank(z, *, rev=False, max_rank: int | None = None) -> DataFrame:
+    """key, member, rank (from 0) of all members, or of those up to max_rank."""
     rank = (F.row_number().over(W.partitionBy("key").orderBy(*order(rev))) - 1).cast("long")
-    return z.select("key", "member", "score").withColumn("rank", rank).where(F.col("rank") <= max_rank).drop("score")
+    out = z.select("key", "member", "score").withColumn("rank", rank).drop("score")
+    return out if max_rank is None else out.where(F.col("rank") <= max_rank)
 
 
-def zrank_of(z, requests: DataFrame, *, rev=False, max_rank: int = HARD_LIMIT) -> DataFrame:
-    """key, member, rank of requested (key, member): counts the rows in front, with no sort of a whole key; null if missing or beyond max_rank."""
+def zrank_of(z, requests: DataFrame, *, rev=False, max_rank: int | None = None) -> DataFrame:
+    """key, member, rank of requested (key, member): counts the rows in front, with no sort of a whole key; null if missing or beyond max_rank, where one is given."""
     asked = requests.select("key", "member").distinct()
     own = asked.join(z.select("key", "member", F.col("score").alias("own")), ["key", "member"])
     ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("other") > F.col("member")))
     if not rev:
         ahead = (F.col("score") < F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("other") < F.col("member")))
     pairs = own.join(z.select("key", F.col("member").alias("other"), "score"), "key")
-    n = pairs.groupBy("key", "member").agg(F.sum(ahead.cast("long")).alias("rank")).where(F.col("rank") <= max_rank)
+    n = pairs.groupBy("key", "member").agg(F.sum(ahead.cast("long")).alias("rank"))
+    if max_rank is not None:
+        n = n.where(F.col("rank") <= max_rank)
     return asked.join(n, ["key", "member"], "left")
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions.keys import concat_key
+from tarn.model import HARD_LIMIT
 from tarn.operators import fts, joins, lookup, metrics, mutate, ranges, scan
 from tarn.plans.command import Session
 from tarn.sources import tables
@@ -55,6 +56,18 @@ def test_rank_of(spark, z):
             assert r["rank"] == all_ranks.get((r["key"], r["member"]))
 
 
+def test_ranks_beyond_the_hard_limit(spark):
+    n = HARD_LIMIT + 5
+    long = spark.range(n).selectExpr("'k' AS key", "format_string('m%06d', id) AS member", "CAST(id AS DOUBLE) AS score", "'' AS data")
+    asked = spark.createDataFrame([("k", f"m{n - 1:06d}")], "key string, member string")
+    for rev, last in ((False, f"m{n - 1:06d}"), (True, "m000000")):
+        got = ranges.zrank(long, rev=rev)
+        assert got.count() == n and rows(got.where(F.col("rank") == n - 1), "member") == [(last,)]
+        assert ranges.zrank(long, rev=rev, max_rank=9).count() == 10
+    assert rows(ranges.zrank_of(long, asked), "rank") == [(n - 1,)]
+    assert rows(ranges.zrank_of(long, asked, max_rank=HARD_LIMIT), "rank") == [(None,)]
+
+
 def test_lookup(spark, z):
     asked = spark.createDataFrame([(0, "b", "m2"), (1, "b", "zz"), (2, "b", "m2"), (3, "b", "m1")], "pos int, key string, member string")
     assert [r["data"] for r in lookup.zmdata(z, asked).orderBy("pos").collect()] == ["", None, "", ""]
