@@ -1,0 +1,204 @@
+"""Passage dedup: every span of 50 words that occurred before, wherever it begins, and spans of three sentences."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm.common import small_batches, staged, table
+from tarn.llm.sentence_dedup import _keyed, repeated_sentences, sentences
+
+#: Scripts without spaces between words (and their punctuation): each of their letters counts as a word.
+SINGLE = "฀-໿က-႟ក-៿　-ヿ㐀-鿿豈-﫿＀-￯\U00020000-\U0003ffff"
+_BLANK = r"\x20\x09-\x0D"
+WORD = rf"[{SINGLE}]|[^{_BLANK}{SINGLE}]+"
+#: A word with the white space before it.
+PIECE = rf"[{_BLANK}]*(?:{WORD})"
+
+_NO_ID = -(2**63)
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(29))
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n values, made of hashes of runs of 1, 2, 4, ... values."""
+    out, part, size, done = None, h, 1, 0
+    while True:
+        if n & size:
+            out = part if out is None else _mixed(out[: len(part) - done] * _U(0xD6E8FEB86659FD93)) + part[done : done + len(out)]
+            done += size
+        if 2 * size > n:
+            return out
+        part = _mixed(part[:-size] * _U(0xD6E8FEB86659FD93)) + part[size:]
+        size *= 2
+
+
+def _slid(x: np.ndarray, n: int, f) -> np.ndarray:
+    """f (minimum or maximum) of each n values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x, size = f(x[:-size], x[size:]), 2 * size
+    return f(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def fingerprints(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of half the words that are the least of some `words` words: equal spans of `words` words have the same, one at least."""
+    half = words // 2
+    g = run_hashes(h, half)
+    n = words - half + 1
+    least = np.pad(_slid(g, n, np.minimum), n - 1)
+    at = np.flatnonzero(_slid(least, n, np.maximum) == g)
+    return at, g[at]
+
+
+def _rows(batch):
+    """Keys and word hashes of each row, then its number."""
+    h = batch.column("h")
+    values, ends = h.values.to_numpy().view(_U), h.offsets.to_numpy()
+    for i in range(batch.num_rows):
+        yield i, values[ends[i] : ends[i + 1]]
+
+
+def _out(batch, counts: list[int], columns: dict[str, list[np.ndarray]], types: dict):
+    rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+    flat = {k: pa.array(np.concatenate(v).astype(types[k])) for k, v in columns.items()}
+    return pa.RecordBatch.from_pydict({"_d": batch.column("_d").take(rows), "_t": batch.column("_t").take(rows)} | flat)
+
+
+def _marks(words: int):
+    def run(batches):
+        for batch in batches:
+            found = [fingerprints(h, words) for _, h in _rows(batch)]
+            if found:
+                columns = {"p": [x[0] for x in found], "f": [x[1].view(np.int64) for x in found]}
+                yield _out(batch, [len(x[0]) for x in found], columns, {"p": np.int32, "f": np.int64})
+
+    return run
+
+
+def _windows(words: int):
+    half = words // 2
+
+    def run(batches):
+        for batch in batches:
+            counts, columns = [], {"at": [], "a": [], "b": []}
+            for i, h in _rows(batch):
+                p, edge = np.unique(batch.column("p")[i].values.to_numpy()), np.zeros(len(h) + 2, dtype=np.int64)
+                np.add.at(edge, np.maximum(0, p - (words - half)), 1)
+                np.add.at(edge, p + 1, -1)
+                at = np.flatnonzero(np.cumsum(edge)[: len(h) - words + 1])
+                counts.append(len(at))
+                columns["at"].append(at)
+                for name, x in (("a", h), ("b", _mixed(h ^ _U(0xA5A5A5A55A5A5A5A)))):
+                    columns[name].append(run_hashes(x, words)[at].view(np.int64))
+            if counts:
+                yield _out(batch, counts, columns, {"at": np.int32, "a": np.int64, "b": np.int64})
+
+    return run
+
+
+def repeated_words(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document with any: the places of its spans of `words` words that are not the first such span, in order of (id, place).
+
+    A span shares a fingerprint (winnowing: about 2 in 27 places have one) with each equal span, so only spans around a
+    fingerprint that occurs more than once are hashed (128 bits) and grouped over the corpus. Returns _d, _t (the row's
+    key), starts (numbers of their first words, from 0), first_id (the least id with a first span; null is -2**63).
+    """
+    small_batches(docs.sparkSession)
+    hashed = _keyed(docs, id_col, text_col).select("_d", "_t", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= words)
+    marks = staged(hashed.mapInArrow(_marks(words), "_d long, _t long, p int, f long"), "passage-marks")
+    often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
+    spots = staged(marks.join(often.hint("merge"), "f", "left_semi").groupBy("_d", "_t").agg(F.collect_set("p").alias("p")), "passage-spots")
+    windows = staged(hashed.join(spots.hint("merge"), ["_d", "_t"]).mapInArrow(_windows(words), "_d long, _t long, at int, a long, b long"), "passage-windows")
+    place = F.struct("_d", "at", "_t")
+    firsts = staged(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first"), "passage-firsts")
+    later = windows.join(firsts.hint("merge"), ["a", "b"]).where(place != F.col("first"))
+    return staged(later.groupBy("_d", "_t").agg(F.collect_set("at").alias("starts"), F.min("first._d").alias("first_id")), "passage-repeats")
+
+
+def remove_passages(docs: DataFrame, words: int = 50, run: int = 3, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_removed, first_doc_id, text without the words of repeated passages.
+
+    A passage is a span of `words` words, or of `run` sentences with `least_chars` characters; its first place, in order
+    of (id, place), stays. Each word goes with the white space before it, and a text that loses none is unchanged.
+    Rows of a null id come first in the order; repeated rows (same id and text) count as one place; each gives a row.
+    """
+    spans = repeated_words(docs, words, id_col, text_col)
+    lines = repeated_sentences(docs, run, least_chars, id_col, text_col, wide=True).select("_d", "_t", "gone", F.array_min("first_ids").alias("line_id"))
+    base = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["_d", "_t"], "left").join(lines.hint("merge"), ["_d", "_t"], "left")
+    counts = F.transform(sentences(F.col("text"), wide=True), lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
+    ends = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    base = base.select("doc_id", "text", "starts", "gone", "first_id", "line_id", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("s"), F.when(F.col("gone").isNotNull(), ends).alias("ends"))
+    none = F.array().cast("array<struct<f:int,t:int>>")
+    of_words = F.transform("starts", lambda x: F.struct(x.alias("f"), (x + words).alias("t")))
+    of_lines = F.transform("gone", lambda g: F.struct(F.get("ends", g).alias("f"), F.get("ends", g + 1).alias("t")))
+    going = F.array_sort(F.concat(F.coalesce(of_words, none), F.coalesce(of_lines, none)))
+    kept = F.aggregate(
+        F.concat(going, F.array(F.struct(F.size("s").alias("f"), F.size("s").alias("t")))),
+        F.struct(F.lit(0).alias("at"), none.alias("kept")),
+        lambda acc, x: F.struct(
+            F.greatest(acc.at, x.t).alias("at"),
+            F.when(x.f > acc.at, F.concat(acc.kept, F.array(F.struct(acc.at.alias("f"), x.f.alias("t"))))).otherwise(acc.kept).alias("kept"),
+        ),
+        lambda acc: acc.kept,
+    )
+    some = F.col("starts").isNotNull() | F.col("gone").isNotNull()
+    base = base.select("doc_id", "text", "s", some.alias("some"), F.least("first_id", "line_id").alias("first_id"), F.when(some, kept).alias("kept"))
+    left = F.aggregate("kept", F.lit(0), lambda acc, x: acc + x.t - x.f)
+    text = F.array_join(F.flatten(F.transform("kept", lambda x: F.slice("s", x.f + 1, x.t - x.f))), "")
+    return base.select(
+        "doc_id", F.size("s").cast("long").alias("n_words"), F.when(F.col("some"), F.size("s") - left).otherwise(0).cast("long").alias("n_removed"),
+        F.when(F.col("first_id") != _NO_ID, F.col("first_id")).alias("first_doc_id"), F.when(F.col("some"), text).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, first_doc_id (the least of those that keep its passages), text_sha256 of the cleaned text."""
+    out = remove_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "first_doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+PASSAGE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+  SELECT doc_id, regexp_extract_all(text, '{PIECE}') AS parts FROM d
+), p AS (
+  SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS i FROM raw
+), ww AS (
+  SELECT doc_id, i, string_agg(regexp_replace(s, '^[{_BLANK}]+', ''), chr(10)) OVER o AS k, count(*) OVER o AS n
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), wr AS (
+  SELECT doc_id, i, row_number() OVER q AS place, first_value(doc_id) OVER q AS first_id FROM ww WHERE n = 50
+  WINDOW q AS (PARTITION BY k ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), l AS (
+  SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS p
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?؟।۔])[{_BLANK}]+|([。！？．])[{_BLANK}]*', '\1\2' || chr(10), 'g'), chr(10)) AS parts FROM d)
+), n AS (
+  SELECT doc_id, t, row_number() OVER o - 1 AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, w
+  FROM (SELECT doc_id, p, t, len(regexp_extract_all(t, '{WORD}')) AS w FROM (SELECT doc_id, p, trim(s, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM l) WHERE t <> '')
+  WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), sw AS (
+  SELECT doc_id, i, t || chr(10) || lead(t, 1) OVER o || chr(10) || lead(t, 2) OVER o AS k FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), sr AS (
+  SELECT doc_id, i, row_number() OVER q AS place, first_value(doc_id) OVER q AS first_id FROM sw WHERE k IS NOT NULL AND length(k) - 2 >= 40
+  WINDOW q AS (PARTITION BY k ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), gone AS (
+  SELECT doc_id, i + j AS i FROM wr, range(50) AS v(j) WHERE place > 1
+  UNION
+  SELECT n.doc_id, CAST(upto - w AS BIGINT) + j AS i FROM (SELECT DISTINCT doc_id, i + j AS i FROM sr, range(3) AS v(j) WHERE place > 1) x JOIN n USING (doc_id, i), range(1000000) AS v(j) WHERE j < w
+), f AS (
+  SELECT doc_id, min(first_id) AS first_doc_id FROM (SELECT * FROM wr UNION ALL SELECT * FROM sr) WHERE place > 1 GROUP BY doc_id
+), c AS (
+  SELECT p.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(string_agg(s, '' ORDER BY p.i) FILTER (g.i IS NULL), '') AS text
+  FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, first_doc_id, sha256(CASE WHEN n_removed > 0 THEN c.text ELSE d.text END) AS text_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
+"""

@@ -10,9 +10,12 @@ from tarn.llm.common import staged, table, text_of
 _EDGES = " \t\r\n\x0b\x0c"
 
 
-def sentences(text):
-    """Sentences end at a line feed, or at . ! or ? before white space; blank ones are left out."""
-    broken = F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n")
+def sentences(text, wide: bool = False):
+    """Sentences end at a line feed, or at . ! or ? before white space (`wide`: or at the like of other scripts); blank ones are left out."""
+    if wide:
+        broken = F.regexp_replace(text, r"([.!?؟।۔])[\x20\x09-\x0D]+|([。！？．])[\x20\x09-\x0D]*", "$1$2\n")
+    else:
+        broken = F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n")
     return F.filter(F.transform(F.split(broken, "\n"), lambda x: F.btrim(x, F.lit(_EDGES))), lambda x: x != "")
 
 
@@ -21,7 +24,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64("text").alias("_t"))
 
 
-def repeated_sentences(docs: DataFrame, run: int = 3, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_sentences(docs: DataFrame, run: int = 3, least_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """Per document with any: the sentences covered by a non-first span of `run` consecutive sentences.
 
     Every run of `run` sentences with `least_chars` or more characters is hashed (128 bits) and grouped over the corpus;
@@ -30,7 +33,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3, least_chars: int = 40, id_
     Null and empty texts have no sentences; rows of a null id come first in the order; repeated rows (same id and
     text) count as one place; other columns are unread.
     """
-    base = _keyed(docs, id_col, text_col).select("_d", "_t", F.transform(sentences(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.length(x).alias("c"))).alias("s"))
+    base = _keyed(docs, id_col, text_col).select("_d", "_t", F.transform(sentences(F.col("text"), wide), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.length(x).alias("c"))).alias("s"))
     base = base.where(F.size("s") >= run)
     spans = base.select("_d", "_t", "s", F.explode(F.sequence(F.lit(0), F.size("s") - run)).alias("at"))
     part = [F.get("s", F.col("at") + k) for k in range(run)]

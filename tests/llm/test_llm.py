@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, packing, quality, sentence_dedup, textvec, url_filter, warc
+from tarn.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, packing, passage_dedup, quality, sentence_dedup, textvec, url_filter, warc
 from tarn.llm.components import components
 from tarn.llm.queries import ORACLES, QUERIES
 
@@ -115,6 +115,40 @@ def test_sentences(spark):
     assert got[3]["text"].replace("\n", " ") == own[3] and got[3]["first_ids"] == [1] and got[2]["text"] == own[2]
 
 
+def test_passages(spark):
+    rng = random.Random(7)
+    own = [" ".join(sentence(rng) for _ in range(4)) for _ in range(20)]
+    # 52 words in 1, 2 and 3 sentences, in the middle of a sentence, and 60 letters without spaces between them
+    passages = [" ".join(sentence(rng, 52 // k + (i < 52 % k)) for i in range(k)) for k in (1, 2, 3)]
+    passages += [" ".join(rng.choice(WORDS) for _ in range(52)), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))]
+    first = {k: f"{own[k]} {p} {own[k + 5]}" for k, p in enumerate(passages)}
+    later = {10 + k: f"{own[k + 10]} Kax lox {p} mix y{k}. {own[k + 15]}" for k, p in enumerate(passages)}
+    got = {r["doc_id"]: r for r in passage_dedup.remove_passages(documents(spark, [*first.items(), *later.items()])).collect()}
+    for k, p in enumerate(passages):
+        assert got[k]["text"] == first[k] and got[k]["n_removed"] == 0 and got[k]["first_doc_id"] is None
+        assert got[10 + k]["text"] == later[10 + k].replace(f" {p}", "") and got[10 + k]["n_removed"] == (60 if k == 4 else 52) and got[10 + k]["first_doc_id"] == k
+
+
+@pytest.mark.parametrize("texts", [ODD, []], ids=["odd", "empty"])
+def test_passages_odd(spark, texts):
+    got = passage_dedup.remove_passages(documents(spark, texts)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t or "") for i, t in texts)
+
+
+def test_passages_brute(spark):
+    rng = random.Random(8)
+    texts = {i: [rng.choice("ab") for _ in range(rng.randrange(40))] for i in range(80)}
+    seen, gone = set(), {}
+    for i, w in texts.items():
+        for k in range(len(w) - 7):
+            if tuple(w[k : k + 8]) in seen:
+                gone.setdefault(i, set()).update(range(k, k + 8))
+            seen.add(tuple(w[k : k + 8]))
+    got = passage_dedup.remove_passages(documents(spark, [(i, " ".join(w)) for i, w in texts.items()]), words=8).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: len(gone.get(i, ())) for i in texts}
+    assert all(r["text"].split() == [x for k, x in enumerate(texts[r["doc_id"]]) if k not in gone.get(r["doc_id"], ())] for r in got)
+
+
 def test_warc_round_trip_and_audit(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x</p>\r\n\r\nWARC/1.0\r\nfake"), (2, None, ""), (3, "u\r\nv", None), (None, "http://n/", "n"), (90, "http://z/é", "é\r\n\r\n"), (200, "w", "中" * 5000), (200, "w", "again")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, idx string")
