@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import staged, table, text_of
+from tarn.llm.common import SPACES, staged, table, text_of
 
 #: What is cut from both ends of a line before it is compared.
 _EDGES = " \t\r\n\x0b\x0c"
@@ -17,7 +17,25 @@ def _window_hash(hashes, start, run: int):
     return F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(7), part).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _long_runs(base: DataFrame, runs, long_words: int) -> DataFrame:
+    """_d, _t, spans (first line from 0, end) of all but the first place of each run of 1, 2, ... lines with `long_words` words or more."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_EDGES))), lambda x: x != "")
+    hashed = base.select("_d", "_t", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), F.size(F.split(x, SPACES)).alias("w"))).alias("s"))
+    at = hashed.select("_d", "_t", "s", F.posexplode("s").alias("at", "x")).drop("x")
+    windows = None
+    for n in runs:
+        part = [F.get("s", F.col("at") + k) for k in range(n)]
+        w = at.where(F.size("s") >= F.col("at") + n).where(sum((x.w for x in part[1:]), part[0].w) >= long_words)
+        w = w.select("_d", "_t", "at", F.lit(n).alias("n"), F.xxhash64(*[x.h for x in part]).alias("a"), F.xxhash64(*[x.g for x in part]).alias("b"))
+        windows = w if windows is None else windows.unionByName(w)
+    windows = staged(windows, "line-long-windows")
+    place = F.struct("_d", "at", "_t")
+    firsts = windows.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("n", "a", "b", "first")
+    later = windows.join(firsts.hint("merge"), ["n", "a", "b"]).where(place != F.col("first"))
+    return staged(later.groupBy("_d", "_t").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end"))).alias("spans")), "line-long-deletions")
+
+
+def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """Delete every line in a run of at least `run` lines that occurred before, in order of (id, line).
 
     Lines end at a line feed and are compared without spaces at their ends; blank lines are never compared and stay.
@@ -25,6 +43,7 @@ def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     always shares one, at the same place. Positions of a fingerprint that occurs more than once are joined, and each is
     extended both ways: the windows around it are compared, group by group and not pair by pair, with those around
     its other positions. Any but the first place of an equal window is deleted; together these are the whole runs.
+    With `long_words`, so is any but the first place of fewer lines that have so many words together.
 
     Returns per row of `docs`: doc_id, n_lines (not blank), n_removed, text (cleaned). Null texts count as empty; rows
     of a null id come first in the order; repeated rows (same id and text) count as one place; other columns are unread.
@@ -52,6 +71,10 @@ def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     gone = staged(later.groupBy("_d", "_t").agg(F.collect_set("at").alias("starts")), "line-deletions")
     out = base.join(gone.hint("merge"), ["_d", "_t"], "left")
     deleted = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + run - 1))))
+    if long_words is not None:
+        out = out.join(_long_runs(base, range(1, run), long_words).hint("merge"), ["_d", "_t"], "left")
+        more = F.flatten(F.transform(F.coalesce("spans", F.array().cast("array<struct<at:int,end:int>>")), lambda x: F.sequence(x["at"], x["end"] - 1)))
+        deleted = F.array_distinct(F.concat(deleted, more))
     # number the lines that are not blank, then leave out the deleted ones
     numbered = F.aggregate(
         F.split("text", "\n"),
@@ -92,3 +115,25 @@ SELECT doc_id, CAST(sum(CAST(full_line AS BIGINT)) AS BIGINT) AS n_lines, CAST(s
        sha256(coalesce(string_agg(s, chr(10) ORDER BY p) FILTER (NOT removed), '')) AS text_sha256
 FROM kept GROUP BY doc_id
 """
+
+
+def op3_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op3_line_dedup, and one or two lines go as well where they have 25 words or more and occurred before."""
+    out = dedup_lines(table(spark, sf_dir, "documents"), long_words=25)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+_WORDS = r"len(regexp_split_to_array(t, '[\x20\x09-\x0D]+'))"
+
+LONG_LINE_SQL = OP3_SQL.replace(
+    "), gone AS (",
+    f"""), w2 AS (
+  SELECT doc_id, i, 1 AS n, t AS k FROM n WHERE {_WORDS} >= 25
+  UNION ALL
+  SELECT doc_id, i, 2, k FROM (SELECT doc_id, i, t || chr(10) || lead(t) OVER o AS k, {_WORDS} + lead({_WORDS}) OVER o AS words FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE words >= 25
+), r2 AS (
+  SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, i) AS place FROM w2
+), gone AS (
+  SELECT doc_id, i + j AS i FROM r2, (VALUES (0), (1)) AS v(j) WHERE place > 1 AND j < n
+  UNION""",
+)

@@ -8,6 +8,7 @@ QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op3_long_line_dedup": line_dedup.op3_long_line_dedup,
     "op4_substring_dedup": sentence_dedup.op4_substring_dedup,
     "op4_passage_dedup": passage_dedup.op4_passage_dedup,
     "op5_warc_fixity": warc.op5_warc_fixity,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op3_long_line_dedup": line_dedup.LONG_LINE_SQL,
     "op4_substring_dedup": sentence_dedup.OP4_SQL,
     "op4_passage_dedup": passage_dedup.PASSAGE_SQL,
     "op5_warc_fixity": warc.OP5_SQL,

@@ -105,6 +105,14 @@ def test_lines_brute(spark):
     assert got == {i: len(gone.get(i, ())) for i in texts}
 
 
+def test_long_lines(spark):
+    rng = random.Random(9)
+    one, half = sentence(rng, 50), [sentence(rng, 13), sentence(rng, 12)]
+    docs = documents(spark, [(1, f"{one}\nown a\n{half[0]}\n\n{half[1]}"), (2, f"own b\n {one}\nshort"), (3, f"own c\n{half[0]}\n{half[1]}\nshort"), (4, f"{half[0]}\nown d")])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, long_words=25).collect()}
+    assert got == {1: f"{one}\nown a\n{half[0]}\n\n{half[1]}", 2: "own b\nshort", 3: "own c\nshort", 4: f"{half[0]}\nown d"}
+
+
 def test_sentences(spark):
     rng = random.Random(6)
     passage = " ".join(sentence(rng) for _ in range(6))
