@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import small_batches, staged, table
-from tarn.llm.sentence_dedup import _keyed, repeated_sentences, sentences
+from tarn.llm.sentence_dedup import FAR, _keyed, repeated_sentences, sentences
 
 #: Scripts without spaces between words (and their punctuation): each of their letters counts as a word.
 SINGLE = "฀-໿က-႟ក-៿　-ヿ㐀-鿿豈-﫿＀-￯\U00020000-\U0003ffff"
@@ -49,6 +49,8 @@ def _slid(x: np.ndarray, n: int, f) -> np.ndarray:
 
 def fingerprints(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the runs of half the words that are the least of some `words` words: equal spans of `words` words have the same, one at least."""
+    if len(h) < words:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
     half = words // 2
     g = run_hashes(h, half)
     n = words - half + 1
@@ -103,6 +105,12 @@ def _windows(words: int):
     return run
 
 
+def _words(text):
+    """The words of `text`; where no script without spaces is in it, by its white space, which is faster."""
+    spaced = F.filter(F.split(text, rf"[{_BLANK}]+"), lambda x: x != "")
+    return F.when(text.rlike(FAR), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(spaced)
+
+
 def repeated_words(docs: DataFrame, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with any: the places of its spans of `words` words that are not the first such span, in order of (id, place).
 
@@ -111,11 +119,12 @@ def repeated_words(docs: DataFrame, words: int = 50, id_col: str = "doc_id", tex
     key), starts (numbers of their first words, from 0), first_id (the least id with a first span; null is -2**63).
     """
     small_batches(docs.sparkSession)
-    hashed = _keyed(docs, id_col, text_col).select("_d", "_t", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= words)
-    marks = staged(hashed.mapInArrow(_marks(words), "_d long, _t long, p int, f long"), "passage-marks")
+    base = _keyed(docs, id_col, text_col)
+    hashes = F.transform(_words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")
+    marks = staged(base.select("_d", "_t", hashes).mapInArrow(_marks(words), "_d long, _t long, p int, f long"), "passage-marks")
     often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     spots = staged(marks.join(often.hint("merge"), "f", "left_semi").groupBy("_d", "_t").agg(F.collect_set("p").alias("p")), "passage-spots")
-    windows = staged(hashed.join(spots.hint("merge"), ["_d", "_t"]).mapInArrow(_windows(words), "_d long, _t long, at int, a long, b long"), "passage-windows")
+    windows = staged(base.join(spots.hint("merge"), ["_d", "_t"]).select("_d", "_t", "p", hashes).mapInArrow(_windows(words), "_d long, _t long, at int, a long, b long"), "passage-windows")
     place = F.struct("_d", "at", "_t")
     firsts = staged(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("a", "b", "first"), "passage-firsts")
     later = windows.join(firsts.hint("merge"), ["a", "b"]).where(place != F.col("first"))
@@ -132,9 +141,10 @@ def remove_passages(docs: DataFrame, words: int = 50, run: int = 3, least_chars:
     spans = repeated_words(docs, words, id_col, text_col)
     lines = repeated_sentences(docs, run, least_chars, id_col, text_col, wide=True).select("_d", "_t", "gone", F.array_min("first_ids").alias("line_id"))
     base = _keyed(docs, id_col, text_col).join(spans.hint("merge"), ["_d", "_t"], "left").join(lines.hint("merge"), ["_d", "_t"], "left")
+    some = F.col("starts").isNotNull() | F.col("gone").isNotNull()
     counts = F.transform(sentences(F.col("text"), wide=True), lambda x: F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
     ends = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    base = base.select("doc_id", "text", "starts", "gone", "first_id", "line_id", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("s"), F.when(F.col("gone").isNotNull(), ends).alias("ends"))
+    base = base.select("doc_id", "text", "starts", "gone", "first_id", "line_id", F.size(_words(F.col("text"))).alias("n_words"), F.when(some, F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("s"), F.when(F.col("gone").isNotNull(), ends).alias("ends"))
     none = F.array().cast("array<struct<f:int,t:int>>")
     of_words = F.transform("starts", lambda x: F.struct(x.alias("f"), (x + words).alias("t")))
     of_lines = F.transform("gone", lambda g: F.struct(F.get("ends", g).alias("f"), F.get("ends", g + 1).alias("t")))
@@ -148,12 +158,11 @@ def remove_passages(docs: DataFrame, words: int = 50, run: int = 3, least_chars:
         ),
         lambda acc: acc.kept,
     )
-    some = F.col("starts").isNotNull() | F.col("gone").isNotNull()
-    base = base.select("doc_id", "text", "s", some.alias("some"), F.least("first_id", "line_id").alias("first_id"), F.when(some, kept).alias("kept"))
+    base = base.select("doc_id", "text", "n_words", "s", some.alias("some"), F.least("first_id", "line_id").alias("first_id"), F.when(some, kept).alias("kept"))
     left = F.aggregate("kept", F.lit(0), lambda acc, x: acc + x.t - x.f)
     text = F.array_join(F.flatten(F.transform("kept", lambda x: F.slice("s", x.f + 1, x.t - x.f))), "")
     return base.select(
-        "doc_id", F.size("s").cast("long").alias("n_words"), F.when(F.col("some"), F.size("s") - left).otherwise(0).cast("long").alias("n_removed"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.when(F.col("some"), F.col("n_words") - left).otherwise(0).cast("long").alias("n_removed"),
         F.when(F.col("first_id") != _NO_ID, F.col("first_id")).alias("first_doc_id"), F.when(F.col("some"), text).otherwise(F.col("text")).alias("text"),
     )
 

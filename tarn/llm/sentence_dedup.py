@@ -9,13 +9,15 @@ from tarn.llm.common import staged, table, text_of
 
 _EDGES = " \t\r\n\x0b\x0c"
 
+#: A letter or mark of scripts that may end sentences otherwise, or have no spaces between words.
+FAR = "[\u0600-\u1fff\u2e80-\U0010ffff]"
+
 
 def sentences(text, wide: bool = False):
     """Sentences end at a line feed, or at . ! or ? before white space (`wide`: or at the like of other scripts); blank ones are left out."""
-    if wide:
-        broken = F.regexp_replace(text, r"([.!?؟।۔])[\x20\x09-\x0D]+|([。！？．])[\x20\x09-\x0D]*", "$1$2\n")
-    else:
-        broken = F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n")
+    broken = F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n")
+    if wide:  # the longer pattern takes several times as long
+        broken = F.when(text.rlike(FAR), F.regexp_replace(text, r"([.!?؟।۔])[\x20\x09-\x0D]+|([。！？．])[\x20\x09-\x0D]*", "$1$2\n")).otherwise(broken)
     return F.filter(F.transform(F.split(broken, "\n"), lambda x: F.btrim(x, F.lit(_EDGES))), lambda x: x != "")
 
 
