@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,5 +84,29 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str, most_rows: int = 1_000_0
     return docs.join(bounded_broadcast(ids.select("doc_id"), most_rows), "doc_id", how).select(*docs.columns)
 
 
+#: Bits of a filter over hashes: at least, and at most (32 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def filter_bits(rows: int) -> int:
+    """Bits, a power of two, for a filter over so many hashes: 16 for each, within fixed bounds."""
+    return max(LEAST_BITS, min(MOST_BITS, 1 << (16 * rows).bit_length()))
+
+
+def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """`bits` bits (a power of two), packed, with those set that the hashes of a stored column (long) name. What comes to the driver is these bits, whatever the input."""
+    slot = F.expr(f"pmod({column}, {bits}L) + 1")
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in hashes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
+    return out
+
+
+def hits(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64) have their bit set."""
+    slot = hashes.view(np.uint64) & np.uint64(8 * len(packed) - 1)
+    return (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

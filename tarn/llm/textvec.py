@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         n = max(n, BLOCK + 4096)
@@ -36,15 +36,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
-def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the words of some bytes."""
+def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of some bytes."""
     space = _SPACE[data]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    powers, inverses = _power_tables(len(data) + 1)
+    powers, inverses = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
@@ -66,8 +66,8 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text, in order; words are what white space parts."""
+def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+    """(bytes, starts, ends, hashes, number of words in each text) of blocks of texts; words are what white space parts. A text of several blocks counts in its last one."""
     group: list[bytes] = []
     held = 0
 
@@ -75,14 +75,21 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
         nonlocal group, held
         if group:
             begin = np.cumsum([0, *(len(x) + 1 for x in group)])
-            starts, hashes = _block_words(np.frombuffer(b" ".join(group), dtype=np.uint8))
-            yield from np.split(hashes, np.searchsorted(starts, begin[1:-1]))
+            data = np.frombuffer(b" ".join(group), dtype=np.uint8)
+            starts, ends, hashes = _block_words(data)
+            yield data, starts, ends, hashes, np.diff(np.searchsorted(starts, begin)).tolist()
         group, held = [], 0
 
     for raw in texts:
         if len(raw) > BLOCK:
             yield from flush()
-            yield np.concatenate([_block_words(np.frombuffer(x, dtype=np.uint8))[1] for x in _pieces(raw) if x] or [np.empty(0, np.uint64)])
+            n = 0
+            for x in filter(None, _pieces(raw)):
+                data = np.frombuffer(x, dtype=np.uint8)
+                starts, ends, hashes = _block_words(data)
+                n += len(starts)
+                yield data, starts, ends, hashes, []
+            yield np.zeros(0, np.uint8), *([np.zeros(0, np.int64)] * 2), np.zeros(0, _U), [n]
             continue
         if held + len(raw) > BLOCK:
             yield from flush()
@@ -91,6 +98,18 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, in order."""
+    before = []
+    for _, _, _, hashes, counts in words_of(texts):
+        if not counts:
+            before.append(hashes)
+            continue
+        if before:
+            hashes, before = np.concatenate([*before, hashes]), []
+        yield from np.split(hashes, np.cumsum(counts)[:-1])
+
+
 _WEIGHT = mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
 
 

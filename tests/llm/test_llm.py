@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, packing, passage_dedup, quality, sentence_dedup, textvec, url_filter, warc
+from tarn.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, packing, quality, sentence_dedup, textvec, url_filter, warc
 from tarn.llm.components import components
 from tarn.llm.queries import ORACLES, QUERIES
 
@@ -113,50 +113,89 @@ def test_long_lines(spark):
     assert got == {1: f"{one}\nown a\n{half[0]}\n\n{half[1]}", 2: "own b\nshort", 3: "own c\nshort", 4: f"{half[0]}\nown d"}
 
 
-def test_sentences(spark):
-    rng = random.Random(6)
-    passage = " ".join(sentence(rng) for _ in range(6))
-    own = [" ".join(sentence(rng) for _ in range(4)) for _ in range(4)]
-    docs = documents(spark, [(1, f"{own[0]} {passage} {own[1]}"), (2, own[2]), (3, f"{passage} {own[3]}")])
-    got = {r["doc_id"]: r for r in sentence_dedup.remove_repeated(docs).collect()}
-    assert got[1]["n_removed"] == got[2]["n_removed"] == 0 and got[3]["n_removed"] == 6
-    assert got[3]["text"].replace("\n", " ") == own[3] and got[3]["first_ids"] == [1] and got[2]["text"] == own[2]
+def plain_clauses(text):
+    """(words with the white space before each, number of the clause of each)."""
+    parts = re.findall(sentence_dedup.PIECE, text or "")
+    number, out = -1, []
+    for k, x in enumerate(parts):
+        number += k == 0 or "\n" in x[: len(x) - len(x.lstrip(" \t\r\n\x0b\x0c"))] or parts[k - 1][-1] in sentence_dedup.ENDS
+        out.append(number)
+    return parts, out
+
+
+def brute_spans(texts, least=sentence_dedup.LEAST_WORDS):
+    """(n_words, n_removed, first_doc_id, text) of each document of distinct ids, in order."""
+    seen, out = {}, {}
+    for i in sorted(texts):
+        parts, of = plain_clauses(texts[i])
+        words, gone, first = [x.strip(" \t\r\n\x0b\x0c") for x in parts], set(), None
+        for at in range(len(words)):
+            if at and of[at] == of[at - 1] or at + least > len(words):
+                continue
+            end = at + least
+            while end < len(words) and of[end] == of[end - 1]:
+                end += 1
+            holder = seen.setdefault(tuple(words[at:end]), (i, at))
+            if holder != (i, at):
+                gone |= set(range(at, end))
+                first = holder[0] if first is None else min(first, holder[0])
+        out[i] = (len(parts), len(gone), first, "".join(x for k, x in enumerate(parts) if k not in gone) if gone else texts[i] or "")
+    return out
 
 
-def test_passages(spark):
-    rng = random.Random(7)
+def removed(spark, texts, **options):
+    return {r["doc_id"]: tuple(r)[1:4] + (r["text"],) for r in sentence_dedup.remove_repeated(documents(spark, list(texts.items())), **options).collect()}
+
+
+def test_sentences(spark):
+    rng = random.Random(6)
     own = [" ".join(sentence(rng) for _ in range(4)) for _ in range(20)]
-    # 52 words in 1, 2 and 3 sentences, in the middle of a sentence, and 60 letters without spaces between them
-    passages = [" ".join(sentence(rng, 52 // k + (i < 52 % k)) for i in range(k)) for k in (1, 2, 3)]
-    passages += [" ".join(rng.choice(WORDS) for _ in range(52)), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))]
+    clause = lambda n: ", ".join(" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(n // 6)).capitalize()
+    # 54 words in 1 to 4 sentences, and 60 letters without spaces between them
+    passages = [". ".join(clause(54 // 6 // k * 6 + 6 * (i < 9 % k)) for i in range(k)) + "." for k in (1, 2, 3, 4)]
+    passages += ["".join(chr(0x4E00 + rng.randrange(5000)) + "。" * (k % 9 == 8) for k in range(60))]
     first = {k: f"{own[k]} {p} {own[k + 5]}" for k, p in enumerate(passages)}
-    later = {10 + k: f"{own[k + 10]} Kax lox {p} mix y{k}. {own[k + 15]}" for k, p in enumerate(passages)}
-    got = {r["doc_id"]: r for r in passage_dedup.remove_passages(documents(spark, [*first.items(), *later.items()])).collect()}
-    for k, p in enumerate(passages):
-        assert got[k]["text"] == first[k] and got[k]["n_removed"] == 0 and got[k]["first_doc_id"] is None
-        assert got[10 + k]["text"] == later[10 + k].replace(f" {p}", "") and got[10 + k]["n_removed"] == (60 if k == 4 else 52) and got[10 + k]["first_doc_id"] == k
+    # glued to other words at both ends
+    later = {10 + k: f"{own[k + 10]} Kax lox {p[:-1]} miy y{k}. {own[k + 15]}" for k, p in enumerate(passages)}
+    # lines of boilerplate that many share are short: they stay
+    notice = {30 + k: f"{sentence(rng, 40)}\n{WORDS[0]} same notice. {WORDS[1]} in each." for k in range(3)}
+    got = removed(spark, first | later | notice)
+    for k in range(5):
+        assert got[k][1:] == (0, None, first[k])
+        assert 25 <= got[10 + k][1] <= 66 and got[10 + k][2] == k and got[10 + k][3].startswith(f"{own[k + 10]} Kax lox") and got[10 + k][3].endswith(own[k + 15])
+    assert all(got[i][1:] == (0, None, t) for i, t in notice.items())
+
+
+@pytest.mark.parametrize("block", [60, 1 << 20])
+def test_spans_brute(spark, block, monkeypatch):
+    monkeypatch.setattr(textvec, "BLOCK", block)
+    rng = random.Random(8)
+    alphabet = ["a", "b", "as", "b.", "c,", "中", "。", "é", "ß:"]
+    texts = {i: "".join(rng.choice(alphabet) + rng.choice([" ", " ", "\n", "  ", "\t"]) for _ in range(rng.randrange(40))) for i in range(80)}
+    texts |= {100: None, 101: "", 102: " \n", 103: "a " * 40, 104: "中" * 300, 105: "a " * 40, 200: texts[7] + texts[9]}
+    docs = documents(spark, list(texts.items()))
+    if block == 60:  # in this process: Python workers have the block of the module
+        spans = sentence_dedup.Spans([(t or "").encode() for t in texts.values()], 5)
+        monkeypatch.setattr(textvec, "BLOCK", 1 << 20)
+        whole = sentence_dedup.Spans([(t or "").encode() for t in texts.values()], 5)
+        assert all((getattr(spans, k) == getattr(whole, k)).all() for k in ("text", "at", "end", "a", "b", "clauses")) and spans.words == whole.words
+        return
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["first_doc_id"], r["text"]) for r in sentence_dedup.remove_repeated(docs, 5).collect()}
+    assert got == brute_spans(texts, 5)
+
+
+def test_spans_brute_tables(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = sentence_dedup.remove_repeated(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["first_doc_id"], r["text"]) for r in got} == brute_spans(texts)
 
 
 @pytest.mark.parametrize("texts", [ODD, []], ids=["odd", "empty"])
-def test_passages_odd(spark, texts):
-    got = passage_dedup.remove_passages(documents(spark, texts)).collect()
+def test_spans_odd(spark, texts):
+    got = sentence_dedup.remove_repeated(documents(spark, texts)).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t or "") for i, t in texts)
 
 
-def test_passages_brute(spark):
-    rng = random.Random(8)
-    texts = {i: [rng.choice("ab") for _ in range(rng.randrange(40))] for i in range(80)}
-    seen, gone = set(), {}
-    for i, w in texts.items():
-        for k in range(len(w) - 7):
-            if tuple(w[k : k + 8]) in seen:
-                gone.setdefault(i, set()).update(range(k, k + 8))
-            seen.add(tuple(w[k : k + 8]))
-    got = passage_dedup.remove_passages(documents(spark, [(i, " ".join(w)) for i, w in texts.items()]), words=8).collect()
-    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: len(gone.get(i, ())) for i in texts}
-    assert all(r["text"].split() == [x for k, x in enumerate(texts[r["doc_id"]]) if k not in gone.get(r["doc_id"], ())] for r in got)
-
-
 def test_warc_round_trip_and_audit(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x</p>\r\n\r\nWARC/1.0\r\nfake"), (2, None, ""), (3, "u\r\nv", None), (None, "http://n/", "n"), (90, "http://z/é", "é\r\n\r\n"), (200, "w", "中" * 5000), (200, "w", "again")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, idx string")
