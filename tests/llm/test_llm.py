@@ -260,25 +260,44 @@ def brute_components(sets):
     return least
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_brute(spark, seed, monkeypatch):
+def near_texts(seed, n=150):
     rng = random.Random(seed)
-    monkeypatch.setattr(jaccard, "BLOCK", 4)  # tiles in several blocks
     bases = [[rng.choice(WORDS) for _ in range(rng.choice([3, 8, 40, 60, 90]))] for _ in range(12)]
     common = [rng.choice(WORDS) for _ in range(30)]
     texts = {}
-    for i in range(150):
+    for i in range(n):
         w = list(rng.choice(bases))
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         if rng.random() < 0.2:
             w = w[: rng.randrange(1, len(w) + 1)] + common
         texts[i] = rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t", " \n"]).join(x.upper() if rng.random() < 0.3 else x for x in w)
-    texts |= {200: None, 201: "", 202: "É é", 203: "é É"}
+    return texts | {200: None, 201: "", 202: "É é", 203: "é É"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_brute(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)  # tiles in several blocks
+    texts = near_texts(seed)
     sets = brute_sets(texts)
     want = brute_components(sets)
-    got = jaccard.similar(documents(spark, list(texts.items()))).collect()
+    docs = documents(spark, list(texts.items()))
+    got = jaccard.similar(docs).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == {i: (want[i], len(sets[i])) for i in texts}
+    first = {}
+    for i, s in sets.items():
+        if s:
+            first.setdefault(s, i)
+    pairs = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and 100 * len(s & t) >= 75 * len(s | t)}
+    assert {(r["a"], r["b"]) for r in jaccard.links(docs).collect()} == pairs and len(pairs) > 20
+
+
+def test_jaccard_brute_table(spark):
+    """All documents of a table, with the shingles that two documents share as candidates."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = brute_sets({r["doc_id"]: r["text"] for r in docs.collect()})
+    want = brute_components(sets)
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in jaccard.similar(docs).collect()} == {i: (want[i], len(sets[i])) for i in sets}
 
 
 def test_components(spark):
