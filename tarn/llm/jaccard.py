@@ -343,7 +343,7 @@ class Join:
         one = [F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.first("sign").alias("sign"), F.first("long_sign").alias("long_sign")]
         self.sets = staged(measured.where("s IS NOT NULL").groupBy("s").agg(*one), "sets")
         total = self.rows.agg(F.sum(F.col("n") * (100 - LEAST) / 100 + 1)).head()[0] or 0
-        bits = max(int(np.ceil(np.log2(total / PER_TASK + 1))), int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2))))
+        bits = max(int(np.ceil(np.log2(total / PER_TASK + 1))), int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
         rank = spark.sparkContext.broadcast(_ranks(measured))
         posted = self.base.select("text").mapInArrow(_postings(rank, bits), "bucket long, hubs binary, members binary")
         self.members = staged(posted.repartition(1 << bits, "bucket").mapInArrow(_meet, _MEMBERS), "members")
