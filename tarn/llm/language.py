@@ -15,7 +15,7 @@ from tarn.llm.common import small_batches, table
 BUCKETS, WIDTH, SAMPLE, REJECTED = 1 << 14, 16, 2000, 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 #: ASCII letters in lower case, other bytes of UTF-8 as they are, all else a space.
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -23,16 +23,21 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _BLOCK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket's subwords occur in the whole text: runs of 2, 3 and 4 bytes within words with a space at both ends."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    """How often each bucket's subwords occur in the whole text: runs of 2, 3 and 4 bytes within words with a space at both ends, in blocks of bounded size."""
+    raw = np.frombuffer(b" %b " % text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     out = np.zeros(buckets, dtype=np.int64)
     shift = np.uint32(32 - buckets.bit_length() + 1)
     for at in range(0, len(raw), _BLOCK):
-        b = _FOLD[np.concatenate([[32], raw[max(0, at - 3) : at + _BLOCK], [32]]) if at == 0 or at + _BLOCK >= len(raw) else raw[at - 3 : at + _BLOCK]]
+        b = _FOLD[raw[at : at + _BLOCK + 3]]
         inner = b != 32
         for n in (2, 3, 4):
-            m = len(b) - n + 1
+            m = min(_BLOCK, len(b) - n + 1)  # runs that begin in this block
             if m <= 0:
                 continue
             code = b[:m].copy()
@@ -89,7 +94,7 @@ class LanguageModel:
         return self
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.labels or not _LETTER.search(text):
+        if text is None or not self.labels or not has_letter(text):
             return UNKNOWN, 0.0
         n = counts(text)
         p = _softmax((n @ self.table / max(1, n.sum()) + self.bias) / self.temperature)
@@ -108,12 +113,12 @@ def _sparse(batches):
             c = counts(text.as_py())
             k = np.flatnonzero(c)
             at.append(k.astype("<u2").tobytes())
-            n.append(np.minimum(c[k], 65535).astype("<u2").tobytes())
+            n.append(c[k].astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["label", "at", "n"])
 
 
 def train(labelled: DataFrame, most: int = SAMPLE) -> LanguageModel:
-    """Fit on at most `most` rows (label, text) with neither null: those of the least hash of id and text. What comes to the driver is at most 64 KB a row."""
+    """Fit on at most `most` rows (label, text) with neither null: those of the least hash of id and text (of repeated rows, 2 * most at most in all). What comes to the driver is at most 96 KB a row, however long its text."""
     small_batches(labelled.sparkSession)
     order = labelled.where("label IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("key", "text"))
     last = order.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).head()["h"]
@@ -121,11 +126,14 @@ def train(labelled: DataFrame, most: int = SAMPLE) -> LanguageModel:
     rows = sorted(rows, key=lambda r: (r["label"], r["at"], r["n"]))
     rows = [rows[i] for i in np.random.default_rng(9).permutation(len(rows))]
     names = sorted({r["label"] for r in rows})
-    return LanguageModel(names).fit([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u2").astype(float), names.index(r["label"])) for r in rows])
+    return LanguageModel(names).fit([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<u4").astype(float), names.index(r["label"])) for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs`, lang_pred, score, accepted. Null texts and texts without a letter are `und`, with score 0 and not accepted; an empty table gives no rows."""
+    """The columns `keep` of `docs`, lang_pred, score, accepted. Null texts and texts without a letter (Unicode's category L) are `und`, with score 0 and not accepted.
+
+    A text of any length is counted whole; repeated rows and null ids are rows of their own; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred KB for each label, whatever the input
@@ -143,6 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, accepted. Rows of a null id are not held out."""
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = train(docs.where(F.coalesce(~held, F.lit(False))).select(F.col("lang").alias("label"), "text", F.col("doc_id").alias("key")))
