@@ -13,7 +13,7 @@ from tarn.llm.common import SPACES, new_path, staged, table, text_of
 class DigestIndex:
     """Digests of all texts seen so far with the id that keeps each, as a table bucketed and sorted by digest.
 
-    `path` makes it durable: a later session opens the same path with the same number of buckets. New data are
+    `path` makes it durable: a later session opens the same path with the same number of buckets (another number is refused). New data are
     grouped by digest, anti-joined with the index by sort-merge, and what is new is appended in one commit, so a
     lost executor or a repeated run changes nothing: a document that the index already names keeps its place.
 
@@ -27,11 +27,27 @@ class DigestIndex:
         self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
         path = path or new_path(spark, "digest-index")
+        self._same_buckets(path)
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _same_buckets(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        marks = jvm.org.apache.hadoop.fs.Path(path)
+        files = marks.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(marks):
+            found = [x.getPath().getName() for x in files.listStatus(marks) if x.getPath().getName().startswith("_buckets-")]
+            if found and found != [f"_buckets-{self.buckets}"]:
+                raise ValueError(f"{path} has {found[0].removeprefix('_buckets-')} buckets, not {self.buckets}")
+        files.mkdirs(marks)
+        files.create(jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets-{self.buckets}"), True).close()
+
+    def close(self) -> None:
+        """Forget the table's name; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
@@ -49,7 +65,10 @@ class DigestIndex:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = DigestIndex(spark).dedup(table(spark, sf_dir, "documents"))
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    index = DigestIndex(spark)
+    out = index.dedup(table(spark, sf_dir, "documents"))
+    index.close()  # the result reads stored tables only
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

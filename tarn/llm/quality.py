@@ -11,8 +11,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tarn.llm.common import bounded_broadcast, small_batches, staged, table
 from tarn.llm.textvec import mix
 
-#: Words in a passage; documents of each label to train on at most; sizes of an encoding and of the attention.
-PASSAGE, SAMPLE, WIDTH, ATTENTION = 64, 1500, 24, 12
+#: Words in a passage; documents of each label to train on at most, and passages of each of them; sizes of an encoding and of the attention.
+PASSAGE, SAMPLE, TAUGHT, WIDTH, ATTENTION = 64, 1500, 128, 24, 12
 #: The score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -117,12 +117,14 @@ class AttentionModel:
 
 def _bags(batches):
     for batch in batches:
-        x = [passages(t.as_py()).astype("<f4").tobytes() for t in batch.column(1)]
+        x = [passages(t.as_py()) for t in batch.column(1)]
+        x = [(b if len(b) <= TAUGHT else b[np.linspace(0, len(b) - 1, TAUGHT).astype(int)]).astype("<f4").tobytes() for b in x]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> AttentionModel:
     """Fit on at most `most` documents of each label (doc_id, label 0 or 1): those of the least hash of the id; the others' share is kept by weights.
+    Of a document with more than TAUGHT passages, so many evenly spread ones teach, so that what comes to the driver is bounded; of repeated ids, 4 * most rows at most in all.
 
     Rows of a null id or label teach nothing; of several labels of one id the least counts; without labels every score is about 0.5.
     """
@@ -147,7 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> AttentionMo
 
 
 def scored(docs: DataFrame, model: AttentionModel, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and _score (0 to 1), from the whole text alone. Null texts count as empty; an empty table gives no rows."""
+    """All columns of `docs` and _score (0 to 1; it takes the place of a column of that name), from the whole text alone.
+
+    Null texts count as empty; a text of any length is scored whole, and equal texts score alike; an empty table gives no rows.
+    """
+    docs = docs.drop("_score")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 10 KB
     at = docs.columns.index(text_col)
@@ -174,6 +180,7 @@ def trained_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> AttentionMo
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted. Rows of a null id are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, trained_on(spark, docs, sf_dir))
     return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, exact_dedup, jaccard, language, line_dedup, packing, quality, sentence_dedup, textvec, url_filter, warc
-from tarn.llm.components import components
+from tarn.llm.components import components, forest
 from tarn.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, row long, h string, s string"
@@ -83,6 +83,9 @@ def test_exact_index_persists(spark, tmp_path):
         more = {r["doc_id"]: r["keep_id"] for r in again.dedup(documents(spark, [(0, "a b"), (9, "new"), (2, "c")])).collect()}
         assert more == {0: 1, 9: 9, 2: 2}
     assert again.table().count() == 4
+    with pytest.raises(ValueError, match="buckets"):
+        exact_dedup.DigestIndex(spark, path, 8)
+    again.close()
 
 
 def test_lines(spark):
@@ -226,17 +229,35 @@ def test_proximity(spark):
 def test_url_rules(spark):
     urls = [(1, "http://A.example.ORG/en/12?x"), (2, "https://example.org/es/"), (3, "https://notexample.org/es/"), (4, "x.com/de/"), (5, None), (6, "http://m.com/de/1"), (7, "http://org"), (8, "http://a.com/fr/?://b.org/")]
     pages = spark.createDataFrame(urls, "page_id long, url string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, spark.createDataFrame([], "page_id long, bad int")).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, spark.createDataFrame([], "key long, bad int")).collect()}
     assert got == {1: ("a.example.org", "/en/12", "example.org/en/1", "block"), 2: ("example.org", "/es/", "example.org/es/", "block"), 3: ("notexample.org", "/es/", "org/", "allow"), 4: ("", "", None, "allow"),
                    5: ("", "", None, "allow"), 6: ("m.com", "/de/1", "com/de/", "block"), 7: ("org", "", None, "allow"), 8: ("a.com", "/fr/", "com/fr/", "allow")}
 
 
 def test_reputation(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good'}.site.net/p{i}") for i in range(100)] + [(200, "http://new.site.net/")], "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(100)] + [(1, None)], "page_id long, bad int")
+    outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(100)] + [(1, None), (None, 1)], "key long, bad int")
     got = {r["host"]: r["verdict"] for r in url_filter.judge(pages, outcomes).collect()}
     assert got == {"bad.site.net": "block", "good.site.net": "allow", "new.site.net": "allow"}
     assert url_filter.judge(pages.where("false"), outcomes).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (None, "http://a.net/en/7", "y"), (2, "http://a.net/en/99999999999999999999", "z"), (2, "http://a.net/en/7", "z")], "page_id long, url string, host string")
+    got = url_filter.judge(odd, spark.createDataFrame([(7, 1), (7, 0)], "key long, bad int"), key=url_filter.shown).collect()
+    assert sorted((str(r["page_id"]), r["host"]) for r in got) == [("1", ""), ("2", "a.net"), ("2", "a.net"), ("None", "a.net")]
+
+
+def test_reputation_sql(spark, tmp_path):
+    """The query against its SQL on tables whose hosts differ: the method blocks hosts, and all but its own pages."""
+    rng = random.Random(5)
+    pages = [(i, f"http://{'worse' if i % 3 else 'fine'}{i % 5}.{'a.net' if i % 2 else 'b.info'}/en/{1000 + i}?q={i}", "") for i in range(400)]
+    labels = [(1000 + i, int(rng.random() > (0.97 if i % 3 else 0.03)), 0) for i in range(0, 400, 2)] + [(1000 + i, 1, int(i % 3 > 0)) for i in range(1, 400, 2)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, host, verdict FROM ({url_filter.OP10_SQL})").fetchall())
+    got = sorted((r["page_id"], r["host"], r["verdict"]) for r in QUERIES["op10_url_filters"](spark, f"file://{tmp_path}").collect())
+    assert got == want and {v for _, h, v in got if h.startswith("fine")} == {"allow"} and {v for _, h, v in got if h.startswith("worse")} == {"block"}
 
 
 def brute_sets(texts):
@@ -331,25 +352,88 @@ def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(7)
-    alphabet = [" ", "  ", "a", "b.", "\n", "\t", "\xa0", "é", "12", "'s", "X", "!!", "　", "中", "\r\n", "\x85", "<|endoftext|>", "​", "́", "²"]
-    texts = {i: "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for i in range(300)} | {500: None, 501: "word " * 5000, 502: " " * 70_000}
+    alphabet = [" ", "  ", "a", "b.", "\n", "\t", "\xa0", "é", "12", "'s", "X", "!!", "　", "中", "\r\n", "\x85", "<|endoftext|>", "<|endof", "​", "́", "²"]
+    texts = {i: "".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for i in range(300)} | {500: None, 501: "word " * 5000, 502: " " * 70_000, 503: "a <|endoftext|> b"}
     texts |= {1000 + r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()}
-    pieces = {}
+    pieces, whole = {}, {}
     at = 0
-    for r in sorted(packing.pack(documents(spark, list(texts.items()))).collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+    packed = packing.pack(documents(spark, list(texts.items())))
+    for r in sorted(packed.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["sequence_id"] * 1024 + r["offset"] == at and r["offset"] + r["length"] <= 1024 and r["length"] > 0
         at += r["length"]
         pieces.setdefault(r["doc_id"], []).append(r)
+        whole[r["sequence_id"]] = whole.get(r["sequence_id"], b"") + r["ids"]
     for i, text in texts.items():
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         begin = 0
         for r in sorted(pieces[i], key=lambda r: r["start"]):
             assert (r["start"], r["doc_tokens"]) == (begin, len(ids))
-            assert r["ids_crc32"] == zlib.crc32(np.asarray(ids[begin : begin + r["length"]], dtype="<u4").tobytes())
+            assert r["ids"] == np.asarray(ids[begin : begin + r["length"]], dtype="<u4").tobytes()
             begin += r["length"]
         assert begin == len(ids)
+    assert t.encode(texts[503], add_special_tokens=False).ids[2] == 50256
+    got = {r["sequence_id"]: (r["n_tokens"], bytes(r["ids"])) for r in packing.sequences(packed).collect()}
+    assert got == {k: (len(x) // 4, x.ljust(4096, b"\0")) for k, x in whole.items()}
+
+
+def test_packing_query(spark, sf_dir):
+    rows = QUERIES["op9_packing"](spark, sf_dir)
+    ids = {(r["doc_id"], r["start"]): zlib.crc32(r["ids"]) for r in packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert {(r["doc_id"], r["start"]): r["ids_crc32"] for r in rows.collect()} == ids
+
+
+def test_language_counts(monkeypatch):
+    """Whole texts in blocks: each run counts once, wherever blocks begin."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abé ,B\n中") for _ in range(n)) for n in (0, 1, 2, 3, 7, 50, 200, 1000)]
+    whole = [language.counts(t) for t in texts]
+    for block in (1, 4, 37):
+        monkeypatch.setattr(language, "_BLOCK", block)
+        assert all((language.counts(t) == x).all() for t, x in zip(texts, whole, strict=True))
+    assert language.counts("a" * 300_000).max() > 65535
+
+
+def test_language_forward():
+    """Labels and probabilities against a plain computation from the model's numbers; texts without letters are undetermined."""
+    rng = np.random.default_rng(1)
+    texts = ["the cat sat on the mat", "der hund und die katze", "le chat est sur la table"] * 6
+    rows = []
+    for i, t in enumerate(texts):
+        c = language.counts(t)
+        rows.append((np.flatnonzero(c), c[np.flatnonzero(c)].astype(float), i % 3))
+    model = language.LanguageModel(["en", "de", "fr"]).fit([rows[i] for i in rng.permutation(len(rows))], epochs=30)
+    for t in texts[:3] + ["katze chat"]:
+        total, n = np.zeros(language.WIDTH), 0
+        for k, c in enumerate(language.counts(t)):
+            total, n = total + c * model.emb[k], n + c
+        z = ((total / n) @ model.out + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        assert model.predict(t)[0] == ["en", "de", "fr"][int(p.argmax())] and abs(model.predict(t)[1] - p.max()) < 1e-9
+    assert [model.predict(t)[0] for t in texts[:3]] == ["en", "de", "fr"]
+    for t in (None, "", "½ ² ①", "12 _ !", "\u0301", "Ⅷ"):
+        assert model.predict(t) == ("und", 0.0)
+    assert model.predict("ª")[0] != "und" and model.predict("ʰ")[0] != "und" and model.predict("中")[0] != "und"
+
+
+def test_quality_forward(spark, monkeypatch):
+    """Scores against a plain computation, passage by passage; a long text in blocks."""
+    model = quality.AttentionModel()
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 64, 65, 300)] + [""]
+    w = model.w
+    for t in texts:
+        z, total = np.zeros(quality.WIDTH), 0.0
+        for x in quality.passages(t):
+            h = np.tanh(x @ w["E"] + w["e"])
+            a = np.exp(sum(np.tanh(h @ w["V"][:, k]) / (1 + np.exp(-(h @ w["U"][:, k]))) * w["a"][k] for k in range(quality.ATTENTION)))
+            z, total = z + a * h, total + a
+        want = 1 / (1 + np.exp(-((z / total) @ w["o"] + w["b"][0])))
+        assert abs(model.score([quality.passages(t)])[0] - want) < 1e-6
+    got = quality.scored(documents(spark, list(enumerate(texts))), model).collect()
+    assert np.allclose([r["_score"] for r in sorted(got, key=lambda r: r["doc_id"])], [model.score([quality.passages(t)])[0] for t in texts])
+    monkeypatch.setattr(quality, "_BLOCK", 64 * 4 * 3)
+    assert len(quality.passages("abc " * 64 * 30)) >= 30
 
 
 def test_classifiers_held_out(spark):
@@ -394,3 +478,20 @@ def test_pipeline(spark):
     assert kept[5] == kept[4]
 
 
+
+
+def test_forest():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 30), (400, 500), (2000, 1500)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        least = np.arange(n)
+        for _ in range(n):
+            low = np.minimum(least[a], least[b])
+            new = least.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            if (new == least).all():
+                break
+            least = new
+        root, node = forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {i: int(x) for i, x in enumerate(least) if x != i}
