@@ -8,7 +8,6 @@ QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
-    "op3_long_line_dedup": line_dedup.op3_long_line_dedup,
     "op4_substring_dedup": sentence_dedup.op4_substring_dedup,
     "op5_warc_fixity": warc.op5_warc_fixity,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
@@ -21,7 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
-    "op3_long_line_dedup": line_dedup.LONG_LINE_SQL,
     "op4_substring_dedup": sentence_dedup.OP4_SQL,
     "op5_warc_fixity": warc.OP5_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,

@@ -95,24 +95,51 @@ def test_lines(spark):
     assert got == {1: f"a\n{run}\nb", 2: "\nfour", 3: "c\n\nd", 4: "one\ntwo\nx"}
 
 
+def brute_lines(texts, run=3, long_words=25):
+    """(n_lines, n_removed, text) of each document of distinct ids, in order."""
+    seen, out = {}, {}
+    for i in sorted(texts):
+        raw = (texts[i] or "").split("\n")
+        full = [k for k, x in enumerate(raw) if x.strip(" \t\r\x0b\x0c")]
+        lines, gone = [raw[k].strip(" \t\r\x0b\x0c") for k in full], set()
+        for n in range(1, run + 1):
+            for k in range(len(lines) - n + 1):
+                part = tuple(lines[k : k + n])
+                if (n == run or sum(len(x.split()) for x in part) >= long_words) and seen.setdefault((n, part), (i, k)) != (i, k):
+                    gone |= {full[j] for j in range(k, k + n)}
+        out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(raw) if k not in gone))
+    return out
+
+
+def cleaned_lines(docs):
+    return {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
+
+
 def test_lines_brute(spark):
     rng = random.Random(5)
-    texts = {i: [rng.choice("abcdefg") for _ in range(rng.randrange(14))] for i in range(60)}
-    seen, gone = {}, {}
-    for i, lines in texts.items():
-        for k in range(len(lines) - 2):
-            if tuple(lines[k : k + 3]) in seen:
-                gone.setdefault(i, set()).update((k, k + 1, k + 2))
-            seen.setdefault(tuple(lines[k : k + 3]), (i, k))
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(documents(spark, [(i, "\n".join(x)) for i, x in texts.items()])).collect()}
-    assert got == {i: len(gone.get(i, ())) for i in texts}
+    alphabet = [*"abcdef", "", " ", " a ", " ".join("x" * 13), " ".join("y" * 24), " ".join("z" * 25)]
+    texts = {i: "\n".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for i in range(90)} | {200: None}
+    assert cleaned_lines(documents(spark, list(texts.items()))) == brute_lines(texts)
+
+
+def test_lines_brute_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert cleaned_lines(docs) == brute_lines({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_lines_many(spark):
+    """200,000 lines in one text, half of them repeated: time in proportion to lines."""
+    rng = random.Random(6)
+    first = [f"{rng.random()}" for _ in range(100_000)]
+    texts = {1: "\n".join(first + first), 2: "\n".join(first[50_000:])}
+    assert cleaned_lines(documents(spark, list(texts.items()))) == brute_lines(texts)
 
 
 def test_long_lines(spark):
     rng = random.Random(9)
     one, half = sentence(rng, 50), [sentence(rng, 13), sentence(rng, 12)]
     docs = documents(spark, [(1, f"{one}\nown a\n{half[0]}\n\n{half[1]}"), (2, f"own b\n {one}\nshort"), (3, f"own c\n{half[0]}\n{half[1]}\nshort"), (4, f"{half[0]}\nown d")])
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, long_words=25).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {1: f"{one}\nown a\n{half[0]}\n\n{half[1]}", 2: "own b\nshort", 3: "own c\nshort", 4: f"{half[0]}\nown d"}
 
 
