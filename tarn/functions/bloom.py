@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
@@ -30,13 +31,15 @@ def bloom_agg(df: DataFrame, key: str, member: str, size: int, fpr: float = 0.01
     """key, bloom: a filter for `size` members of each key at the false positive rate `fpr`. No member gives an empty filter's absence: no row."""
     bits, hashes = _shape(size, fpr)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict = {}
-        for pdf in batches:
-            for k, h in pdf.groupby("k", dropna=False)["h"]:
-                m = maps.setdefault(None if pd.isna(k) else k, np.zeros(bits, dtype=bool))
-                m[_slots(h.to_numpy(), hashes, bits).ravel()] = True
-        yield pd.DataFrame({"k": list(maps), "m": [np.packbits(m).tobytes() for m in maps.values()]}, columns=["k", "m"])
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
+            at, h = codes.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for i, k in enumerate(codes.dictionary.to_pylist()):
+                m = maps.setdefault(k, np.zeros(bits, dtype=bool))
+                m[_slots(h[at == i], hashes, bits).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.string()), pa.array([np.packbits(m).tobytes() for m in maps.values()], pa.binary())], ["k", "m"])
 
     @F.pandas_udf(BinaryType())
     def merged(m: pd.Series) -> bytes:
@@ -45,7 +48,7 @@ def bloom_agg(df: DataFrame, key: str, member: str, size: int, fpr: float = 0.01
             out |= np.frombuffer(x, dtype=np.uint8)
         return hashes.to_bytes(4, "little") + out.tobytes()
 
-    part = df.select(F.col(key).alias("k"), F.xxhash64(member).alias("h")).mapInPandas(partial, "k string, m binary")
+    part = df.select(F.col(key).alias("k"), F.xxhash64(member).alias("h")).mapInArrow(partial, "k string, m binary")
     return part.groupBy(F.col("k").alias(key)).agg(merged("m").alias("bloom"))
 
 
@@ -59,5 +62,15 @@ def _contains(h: pd.Series, blob: pd.Series) -> pd.Series:
 
 
 def bloom_contains(member: Column, blob: Column | bytes) -> Column:
-    """True of every member that went in, and of few others."""
-    return _contains(F.xxhash64(member), F.lit(blob) if isinstance(blob, bytes) else blob)
+    """True of every member that went in, and of few others. A filter given as bytes goes to each worker once, one given as a column with every row."""
+    if not isinstance(blob, bytes):
+        return _contains(F.xxhash64(member), blob)
+    hashes = int.from_bytes(blob[:4], "little")
+
+    @F.pandas_udf(BooleanType())
+    def inside(h: pd.Series) -> pd.Series:
+        packed = np.frombuffer(blob, dtype=np.uint8, offset=4)
+        slots = _slots(h.to_numpy(), hashes, 8 * len(packed))
+        return pd.Series(((packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0).astype(bool))
+
+    return inside(F.xxhash64(member))

@@ -13,18 +13,17 @@ _BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def concat_key(member: Column, prefix: str, start: int | None = None, end: int | None = None, suffix: str = "") -> Column:
-    """prefix + member, or prefix + member[start..end] + suffix: indices count from the end where negative and wrap at the length. Null where the part is empty."""
+    """prefix + member, or prefix + member[start..end] + suffix: indices are of bytes, count from the end where negative and wrap at the length. Null where the part is empty."""
     if start is None:
         return F.concat(F.lit(prefix), member)
-    n = F.length(member)
+    n = F.octet_length(member)
     a, b = F.pmod(F.lit(start), n), F.pmod(F.lit(end), n)
-    return F.when((n > 0) & (b >= a), F.concat(F.lit(prefix), F.substring(member, a + 1, b - a + 1), F.lit(suffix)))
+    return F.when((n > 0) & (b >= a), F.concat(F.lit(prefix), F.substring(member.cast("binary"), a + 1, b - a + 1).cast("string"), F.lit(suffix)))
 
 
 def tag(key: Column) -> Column:
-    """What is between the first `{` and the next `}`, else the whole key: keys of one tag share a shard."""
-    inner = F.regexp_extract(key, r"\{([^}]*)\}", 1)
-    return F.when(inner != "", inner).otherwise(key)
+    """What is between the first `{` and the next `}`, empty too, else the whole key: keys of one tag share a shard."""
+    return F.when(key.rlike(r"\{[^}]*\}"), F.regexp_extract(key, r"\{([^}]*)\}", 1)).otherwise(key)
 
 
 def shard(key: Column) -> Column:
@@ -40,11 +39,15 @@ def fnv1(raw: bytes) -> int:
 
 
 @F.pandas_udf(IntegerType())
-def fnv_shard(key: pd.Series) -> pd.Series:
-    """The shard by FNV-1, for exchange with systems that use it."""
+def _fnv(key: pd.Series) -> pd.Series:
     return pd.Series([fnv1(k.encode()) % SHARDS for k in key])
 
 
+def fnv_shard(key: Column) -> Column:
+    """The shard by FNV-1 of the tag, for exchange with systems that use it."""
+    return _fnv(tag(key))
+
+
 def bits_mask(high: int, low: int) -> int:
     """A mask of the bits from low to high, both included."""
     if not 0 <= low <= high <= 63:

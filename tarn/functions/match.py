@@ -139,7 +139,8 @@ def _term(name: str, value: str, text: Column) -> Column:
         return F.lit(False) if math.isnan(number) else F.coalesce(_COMPARE[name](own, F.lit(number)), F.lit(False))
     if name == "bm16":
         bits = [int(x) & 0xFFFF for x in value.split(",") if re.fullmatch(r"[+-]?\d+", x.strip())]
-        return has_any(F.lit(bits), text.cast("binary"))
+        # bitmaps in data are in hexadecimal
+        return has_any(F.lit(bits), F.when(text.rlike("^([0-9a-fA-F]{66})+$"), F.unhex(text)).otherwise(text.cast("binary")))
     if name.startswith("json:"):
         path = "$" + "".join(f"[{x}]" if x.isdigit() else f".{x}" for x in name[5:].split("."))
         return matches(value, F.coalesce(F.get_json_object(text, path), F.lit("")))

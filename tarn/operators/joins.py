@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.functions.bloom import bloom_contains
+from tarn.functions.bloom import bloom_agg, bloom_contains
 from tarn.functions.bounds import parse_number
 
 
@@ -26,6 +26,23 @@ def in_bloom(left: DataFrame, blob: bytes) -> DataFrame:
     return left.where(bloom_contains(F.col("member"), blob))
 
 
+def members_bloom(left: DataFrame, fpr: float, size: int, rev: bool = False, lex: bool = False) -> DataFrame:
+    """One row for the rows of one key: first, first_score, first_data, last, last_score, last_data, n, bloom (a filter of their members for `size` of them); none for no rows."""
+    place = F.struct(*(["member", "score", "data"] if lex else ["score", "member", "data"]))
+    ends = left.agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    first, last = ("high", "low") if rev else ("low", "high")
+    bloom = bloom_agg(left.select(F.lit("").alias("_all"), "member"), "_all", "member", size, fpr).select("bloom")
+    cols = [F.col(f"{e}.{c}").alias(name + {"member": ""}.get(c, f"_{c}")) for e, name in ((first, "first"), (last, "last")) for c in ("member", "score", "data")]
+    return ends.select(*cols, "n").join(F.broadcast(bloom))
+
+
+def nested(children: DataFrame) -> DataFrame:
+    """One row for each row that went into `fanout`, in which its children are an array (member, score, data) in order: the reply as a tree."""
+    own = [c for c in children.columns if c not in ("pos", "child", "child_score", "child_data")]
+    son = F.when(F.col("pos") > 0, F.struct("pos", F.col("child").alias("member"), F.col("child_score").alias("score"), F.col("child_data").alias("data")))
+    return children.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(son)), lambda x: F.struct(x["member"].alias("member"), x["score"].alias("score"), x["data"].alias("data"))).alias("children"))
+
+
 def two_hops(left: DataFrame, z: DataFrame, member: str, key_expr: Column | None = None) -> DataFrame:
     """Rows whose derived key's sorted set holds `member`."""
     held = z.where(F.col("member") == member).select(F.col("key").alias("_hop")).distinct()

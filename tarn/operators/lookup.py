@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.bitmap16 import bits_between
+from tarn.functions.bitmap16 import bits_between, from_bitmap
 
 
 def mget(kv: DataFrame, requests: DataFrame) -> DataFrame:
@@ -32,6 +32,12 @@ def zdata_bm16(bits: DataFrame, requests: DataFrame, low: int = 0, high: int = 0
     return found.select("pos", "key", "member", F.explode(bits_between(F.col("bits"), low, high)).alias("bit"))
 
 
+def with_bits(z: DataFrame) -> DataFrame:
+    """key, member, bits of the sorted sets whose data are bitmaps in hexadecimal; other data have no bits."""
+    bitmap = F.col("data").rlike("^([0-9a-fA-F]{66})+$")
+    return z.select("key", "member", F.when(bitmap, from_bitmap(F.when(bitmap, F.unhex("data")))).otherwise(F.array().cast("array<int>")).alias("bits"))
+
+
 def smismember(s: DataFrame, requests: DataFrame) -> DataFrame:
     found = s.select("key", "member", F.lit(1).alias("hit"))
     return requests.select("pos", "key", "member").join(found, ["key", "member"], "left").select("pos", "key", "member", F.coalesce("hit", F.lit(0)).alias("is_member"))

@@ -1,22 +1,27 @@
 """Writes, as folds of ordered commands.
 
 Where the order of commands only decides which one wins, built-in aggregates fold them map-side (`last_wins`, `first_wins`,
-`keep_data`, `sums`). All else goes through `fold`, which replays the commands of each (key, member) in order.
+`keep_data`, `sums`). All else goes through `fold`, which replays the commands of each (key, member) in order, or where a command changes
+several members or a bitmap, through `sequential`, which replays those of each key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Columns of commands: op is zadd, zincrby, zrem, del (of a key: member is null); merge is null, sum, avg, bit, set, clear, invert.
-COMMANDS = "seq long, key string, op string, member string, score double, data string, nx boolean, xx boolean, pd boolean, merge string, mask long, bit int, incrto boolean, dslt double"
+from tarn.functions.bitmap16 import decode_bits, encode_bits
 
-_DEFAULTS = {"op": "'zadd'", "member": "null", "score": "0D", "data": "null", "nx": "false", "xx": "false", "pd": "false", "merge": "null", "mask": "null", "bit": "null", "incrto": "false", "dslt": "null"}
+#: Columns of commands: pos is the place among the pairs of one command; op is zadd, zincrby, zrem, del (of a key: member is null); merge is
+#: null, sum, avg, bit, set, clear, invert. bm16 (a number that goes into the bitmap of the data), ch, add_to and add_from are for `sequential`.
+COMMANDS = "seq long, pos int, key string, op string, member string, score double, data string, nx boolean, xx boolean, pd boolean, merge string, mask long, bit int, incrto boolean, dslt double, bm16 int, ch boolean, add_to string, add_from string"
+
+_DEFAULTS = {"pos": "0", "bm16": "null", "ch": "false", "add_to": "null", "add_from": "null", "op": "'zadd'", "member": "null", "score": "0D", "data": "null", "nx": "false", "xx": "false", "pd": "false", "merge": "null", "mask": "null", "bit": "null", "incrto": "false", "dslt": "null"}
 
 
 def commands(df: DataFrame) -> DataFrame:
@@ -98,47 +103,104 @@ def _step(acc, x):
 
 
 def fold(z: DataFrame, cmds: DataFrame) -> DataFrame:
-    """The sorted sets after all commands, in order of seq: key, member, score, data.
+    """The sorted sets after all commands, in order of seq and pos: key, member, score, data.
 
-    Deletions of keys and expiries (of what is below a command's threshold, after its own pairs) are attached to every member of
-    their key. Rows that no command names are only passed through.
+    What comes before a key's last deletion is left out at once. Expiries (of what is below a command's threshold, after its own pairs) are
+    attached to every member of their key. Rows that no command names are only passed through.
     """
     c = commands(cmds)
-    phased = c.where("member IS NOT NULL").withColumn("phase", F.lit(0))
-    whole = c.where("op = 'del'").withColumn("phase", F.lit(0))
-    expiries = c.where("op = 'zadd' AND dslt IS NOT NULL").groupBy("seq", "key", "dslt").agg(F.lit(1).alias("phase"))
-    fields = [x.split()[0] for x in COMMANDS.split(", ") if x.split()[0] not in ("key", "member")]
-    expiries = commands(expiries.withColumn("op", F.lit("expire"))).withColumn("phase", F.lit(1))
-    for_keys = whole.unionByName(expiries).select("key", F.struct("seq", "phase", *[f for f in fields if f != "seq"]).alias("e"))
-    named = phased.select("key", "member").union(z.join(for_keys.select("key").distinct(), "key", "left_semi").select("key", "member")).distinct()
-    of_key = named.join(for_keys, "key").select("key", "member", "e")
-    own = phased.select("key", "member", F.struct("seq", "phase", *[f for f in fields if f != "seq"]).alias("e"))
-    events = own.union(of_key).groupBy("key", "member").agg(F.array_sort(F.collect_list("e")).alias("events"))
+    last = c.where("op = 'del'").groupBy("key").agg(F.max("seq").alias("_deleted"))
+    z = z.join(last, "key", "left_anti")
+    c = c.where("op != 'del' AND member IS NOT NULL").join(last, "key", "left").where("_deleted IS NULL OR seq > _deleted").drop("_deleted")
+    fields = [x.split()[0] for x in COMMANDS.split(", ") if x.split()[0] not in ("key", "member", "seq", "pos")]
+    event = F.struct("seq", "phase", "pos", *fields).alias("e")
+    own = c.withColumn("phase", F.lit(0)).select("key", "member", event)
+    expiries = c.where("op = 'zadd' AND dslt IS NOT NULL").groupBy("seq", "key", "dslt").agg(F.lit("expire").alias("op"))
+    for_keys = commands(expiries).withColumn("phase", F.lit(1)).select("key", event)
+    named = own.select("key", "member").union(z.join(for_keys.select("key").distinct(), "key", "left_semi").select("key", "member")).distinct()
+    events = own.union(named.join(for_keys, "key").select("key", "member", "e")).groupBy("key", "member").agg(F.array_sort(F.collect_list("e")).alias("events"))
     state = z.select("key", "member", "score", "data", F.lit(True).alias("there")).join(events, ["key", "member"], "full")
     start = F.struct(F.coalesce("there", F.lit(False)).alias("there"), F.col("score").cast("double").alias("score"), F.col("data").cast("string").alias("data"))
     end = F.when(F.col("events").isNull(), start).otherwise(F.aggregate("events", start, _step))
     return state.select("key", "member", end.alias("r")).where("r.there").select("key", "member", "r.score", "r.data")
 
 
-def sequential(z: DataFrame, cmds: DataFrame, step: Callable[[dict, dict], None]) -> DataFrame:
-    """Commands of which one changes other members by its result: `step(members, command)` replays a key's commands on {member: [score, data]} in order, in one task a key."""
-
+def _plain(cmd: dict) -> dict:
+    """The command with None in place of what pandas writes for nulls."""
+    return {k: None if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else v for k, v in cmd.items()}
+
+
+def _merged(cmd: dict, old: float) -> float:
+    kind, new, mask = cmd["merge"], cmd["score"], -1 if cmd["mask"] is None else int(cmd["mask"])
+    if kind == "sum":
+        return old + new
+    if kind == "avg":
+        return (old + new) / 2
+    if kind is None:
+        return new
+    kept, bit = int(old) & mask, 1 << int(cmd["bit"] or 0)
+    return float({"bit": kept, "set": kept | bit, "clear": kept & ~bit, "invert": kept ^ bit}[kind] | int(new))
+
+
+def _with_bit(data: str | None, bit) -> str:
+    """Bitmaps are stored in hexadecimal, as data are text."""
+    return encode_bits([*decode_bits(bytes.fromhex(data or "")), int(bit)]).hex()
+
+
+def replay(members: dict, cmds: list[dict]) -> float:
+    """Apply the pairs of one command to a key's {member: [score, data]}; returns what the command answers: of an increment its score (with INCRTO
+    the change), else the number of members added (with CH, also of scores changed) or removed."""
+    result = 0.0
+    for c in cmds:
+        m, old = c["member"], members.get(c["member"])
+        if c["op"] == "del":
+            result += len(members)
+            members.clear()
+        elif c["op"] == "zrem":
+            result += members.pop(m, None) is not None
+        elif c["op"] == "zincrby":
+            was = old or [0.0, ""]
+            data = _with_bit(was[1], c["bm16"]) if c["bm16"] is not None else was[1] if c["data"] is None else c["data"]
+            result = c["score"] - was[0] if c["incrto"] else was[0] + c["score"]
+            members[m] = [c["score"] if c["incrto"] else result, data]
+            if c["add_to"]:
+                by = {"result": result, "negresult": -result}.get(c["add_from"].lower())
+                # the other member gets the data of the command as well
+                replay(members, [c | {"member": c["add_to"], "add_to": None, "incrto": False, "score": float(c["add_from"]) if by is None else by}])
+        else:
+            skip = c["nx"] and old or c["xx"] and not old or (c["dslt"] is not None and c["merge"] is None and c["score"] < c["dslt"])
+            if not skip:
+                data = _with_bit(old and old[1], c["bm16"]) if c["bm16"] is not None else c["data"]
+                score = _merged(c, old[0] if old else 0.0) + 0.0
+                result += not old or bool(c["ch"] and old[0] != score)
+                members[m] = [score, old[1] if old and c["pd"] and not data else data]
+    if cmds and cmds[-1]["op"] == "zadd" and cmds[-1]["dslt"] is not None:
+        for m in [m for m, x in members.items() if x[0] < cmds[-1]["dslt"]]:
+            del members[m]
+    return result
+
+
+def _replayed(z: DataFrame, cmds: DataFrame, step, answers: bool) -> DataFrame:
     def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        members = {m: [s, d] for m, s, d in zip(old["member"], old["score"], old["data"], strict=True)}
-        for cmd in new.sort_values("seq").to_dict("records"):
-            step(members, cmd)
+        members, results = {m: [s, d] for m, s, d in zip(old["member"], old["score"], old["data"], strict=True)}, []
+        for seq, rows in new.sort_values(["seq", "pos"]).groupby("seq"):
+            results.append((key[0], seq, step(members, [_plain(r) for r in rows.to_dict("records")])))
+        if answers:
+            return pd.DataFrame(results, columns=["key", "seq", "result"])
         return pd.DataFrame({"key": [key[0]] * len(members), "member": list(members), "score": [float(x[0]) for x in members.values()], "data": [x[1] for x in members.values()]})
 
-    return z.groupBy("key").cogroup(commands(cmds).groupBy("key")).applyInPandas(run, "key string, member string, score double, data string")
+    schema = "key string, seq long, result double" if answers else "key string, member string, score double, data string"
+    return z.groupBy("key").cogroup(commands(cmds).groupBy("key")).applyInPandas(run, schema)
+
+
+def sequential(z: DataFrame, cmds: DataFrame, step: Callable[[dict, list[dict]], float] = replay) -> DataFrame:
+    """The sorted sets after commands of which one may change several members: `step(members, pairs of a command)` replays a key's commands in order, in one task a key."""
+    return _replayed(z, cmds, step, False)
 
 
-def increment_other(members: dict, cmd: dict) -> None:
-    """An increment of a member whose result is added to the member that its data names (negated by a leading `-`)."""
-    now = members.setdefault(cmd["member"], [0.0, None])
-    now[0] += cmd["score"]
-    if other := cmd["data"]:
-        sign = -1 if other.startswith("-") else 1
-        members.setdefault(other.lstrip("-"), [0.0, None])[0] += sign * now[0]
+def answers(z: DataFrame, cmds: DataFrame, step: Callable[[dict, list[dict]], float] = replay) -> DataFrame:
+    """key, seq, result: what each command answers, in one task a key."""
+    return _replayed(z, cmds, step, True)
 
 
 def zrem(z: DataFrame, gone: DataFrame) -> DataFrame:

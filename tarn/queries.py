@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn import model as M
-from tarn.functions.bitmap16 import bits_agg
-from tarn.functions.bloom import bloom_agg, bloom_contains
+from tarn.functions.bitmap16 import bits_agg, to_bitmap
+from tarn.functions.bloom import bloom_agg
 from tarn.functions.keys import bits_mask, concat_key
 from tarn.functions.match import match_expr
 from tarn.operators import fts, joins, lookup, metrics, mutate, ranges, scan
+from tarn.plans.command import Session
 from tarn.sources import tables
 from tarn.streaming import log
 
@@ -278,10 +281,39 @@ def _nothing(spark):
     return spark.createDataFrame([], "key string, member string, score double, data string")
 
 
-@query("SELECT key, member, arg_max(score, seq) AS score FROM adds WHERE score >= 20 GROUP BY key, member", "adds")
+_BITS = {"set": "(a & {m}) | {b} | x", "clear": "(a & {m} & ~{b}) | x", "invert": "xor(a & {m}, {b}) | x"}
+
+
+def _bit_query(kind: str):
+    def run(spark, d):
+        cmds = adds(spark, d).select("seq", "key", "member", "score", F.lit(kind).alias("merge"), F.lit(_MASK).alias("mask"), F.lit(3).alias("bit"))
+        return mutate.fold(_nothing(spark), cmds).select("key", "member", "score")
+
+    run.__name__ = f"zadd_msbit{kind}"
+    how = _BITS[kind].format(m=_MASK, b="CAST(8 AS BIGINT)")
+    query(f"SELECT key, member, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(trunc(score) AS BIGINT) ORDER BY seq)), lambda a, x: {how}) AS DOUBLE) AS score FROM adds GROUP BY key, member", "adds")(run)
+
+
+for _kind in _BITS:
+    _bit_query(_kind)
+
+_DSLT = "SELECT s_suppkey AS seq, 'nation:' || s_nationkey AS key, 'm' || (s_suppkey % 7) AS member, s_acctbal AS score, CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal - 100 WHEN s_suppkey % 5 = 1 THEN 1000.0 END AS dslt FROM supplier"
+
+
+@query(f"WITH c AS ({_DSLT}), last AS (SELECT key, member, max(seq) AS seq, arg_max(score, seq) AS score FROM c WHERE dslt IS NULL OR score >= dslt GROUP BY key, member) SELECT key, member, score FROM last WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = last.key AND c.seq >= last.seq AND c.dslt > last.score)")
 def zadd_dslt(spark, d):
-    # one threshold for all commands: what they leave out is never there to expire
-    return mutate.last_wins(adds(spark, d).where("score >= 20")).select("key", "member", "score")
+    """Upserts with thresholds of their own: what is below one is left out, and what is there below it expires."""
+    s = M.table(spark, d, "supplier")
+    dslt = F.when(F.col("s_suppkey") % 5 == 0, F.col("s_acctbal") - 100).when(F.col("s_suppkey") % 5 == 1, F.lit(1000.0))
+    cmds = s.select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("nation:"), "s_nationkey").alias("key"), F.concat(F.lit("m"), (F.col("s_suppkey") % 7).cast("string")).alias("member"), F.col("s_acctbal").alias("score"), dslt.alias("dslt"))
+    return mutate.fold(_nothing(spark), cmds).select("key", "member", "score")
+
+
+@query("SELECT key, member, arg_max(score, seq) AS score, arg_max(data, seq) AS data FROM adds GROUP BY key, member", "adds")
+def zadd_pairs(spark, d):
+    """All upserts of a key as pairs of one command: the last pair of a member wins."""
+    cmds = adds(spark, d).select(F.lit(1).alias("seq"), F.col("seq").cast("int").alias("pos"), "key", "member", "score", "data")
+    return mutate.fold(_nothing(spark), cmds)
 
 
 @query("SELECT key, member, round(sum(score), 4) AS score FROM adds WHERE score > 5 GROUP BY key, member", "adds")
@@ -333,10 +365,12 @@ def bm16_days(spark, d):
 
 @query("SELECT key, member, score FROM zt a WHERE key = 'ev:click' AND EXISTS (SELECT 1 FROM se WHERE se.key = 'purchase' AND se.member = a.member)", "zt", "se")
 def memberbf_semi(spark, d):
-    """A Bloom filter first, then the exact join."""
+    """A Bloom filter first, then the exact join. The filter has the size of the set within fixed bounds (10 MB): past them it lets more through."""
     users = M.se(spark, d).where("key = 'purchase'")
-    blob = bloom_agg(users, "key", "member", size=1 << 16).select("bloom")
-    left = _ev(spark, d, "click").join(F.broadcast(blob)).where(bloom_contains(F.col("member"), F.col("bloom"))).drop("bloom")
+    size = max(64, min(users.count(), 1 << 23))
+    blob = bloom_agg(users, "key", "member", size=size).select("bloom").head()
+    left = _ev(spark, d, "click")
+    left = joins.in_bloom(left, bytes(blob[0])) if blob else left
     return joins.intersect(left, users).select("key", "member", "score")
 
 
@@ -426,3 +460,111 @@ def cmdlog_replay_stream(spark, d):
     log.append(adds(spark, d).select("seq", "key", "member", "score", F.lit("zadd").alias("op")), f"{root}/log")
     log.follow(spark, f"{root}/log", f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return log.latest(spark, f"{root}/state").select("key", "member", "score")
+
+
+def _session(spark, d, **tables) -> Session:
+    return Session(spark, **{k: v.select(*(c for c in ("key", "member", "score", "data") if c in v.columns)) for k, v in tables.items()})
+
+
+_BETWEEN = "FROM zc WHERE key = 'nation:3' AND score BETWEEN 0 AND 5000"
+
+
+@query(f"SELECT arg_min(member, (score, member)) AS first, min(score) AS first_score, arg_max(member, (score, member)) AS last, max(score) AS last_score, count(*) AS n {_BETWEEN}", "zc")
+def cmd_memberbf(spark, d):
+    """The ends and the number of a range; the filter itself is in `cmd_intbfdata`."""
+    return _session(spark, d, z=M.zc(spark, d)).run("ZRANGEBYSCORE nation:3 0 5000 MEMBERBF 0.01").select("first", "first_score", "last", "last_score", "n")
+
+
+@query(f"SELECT member, score {_BETWEEN} AND data = 'BUILDING'", "zc")
+def cmd_intbfdata(spark, d):
+    """A range filtered by a Bloom filter of another range, and exactly after it."""
+    z = M.zc(spark, d)
+    s = _session(spark, d, z=z.union(z.where("data = 'BUILDING' AND key = 'nation:3'").withColumn("key", F.lit("building"))))
+    row = s.run("ZRANGEBYSCORE building -inf +inf MEMBERBF 0.01").head()
+    blob = f"INTBFDATA {base64.b64encode(row['bloom']).decode()}" if row else ""
+    return s.run(f"ZRANGEBYSCORE nation:3 0 5000 {blob} INTERSECT building WITHSCORES")
+
+
+@query(f"SELECT member, score {_BETWEEN} AND data = 'BUILDING'", "zc")
+def cmd_precedence(spark, d):
+    """Of INTERSECT and TWOHOPS only the first counts."""
+    z = M.zc(spark, d)
+    s = _session(spark, d, z=z.union(z.where("data = 'BUILDING'").withColumn("key", F.lit("building"))))
+    return s.run("ZRANGEBYSCORE nation:3 0 5000 TWOHOPS nobody INTERSECT building WITHSCORES")
+
+
+@query("SELECT member, score FROM zc WHERE key IN ('nation:3', 'nation:4') AND score BETWEEN 0 AND 5000 ORDER BY score DESC, member DESC LIMIT 50", "zc")
+def cmd_union(spark, d):
+    """A union has no filter."""
+    return _session(spark, d, z=M.zc(spark, d)).run("ZREVRANGEBYSCORE nation:3 5000 0 UNION nation:4 INTERSECT none WITHSCORES LIMIT 0 50")
+
+
+@query("SELECT command, CAST(result AS DOUBLE) AS result FROM (VALUES ('add', 2.0), ('ch', 3.0), ('incr', 7.0), ('incrto', -5.0), ('nx', 0.0), ('rem', 1.0)) AS t(command, result)")
+def cmd_answers(spark, d):
+    """What writes answer."""
+    s, out = Session(spark), None
+    for name, line in (("add", "ZADD z 5 a 2 a 1 b"), ("ch", "ZADD z CH 3 a 1 b 4 c 6 d"), ("incr", "ZINCRBY z 4 a"), ("incrto", "ZINCRBY z 2 a INCRTO"), ("nx", "ZADD z NX 9 a"), ("rem", "ZREM z d d q")):
+        one = s.run(line).select(F.lit(name).alias("command"), "result")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT member, CAST(score AS DOUBLE) AS score, data FROM (VALUES ('a', 2.0, ''), ('b', 3.0, 'x'), ('c', 8.0, 'a-6-2'), ('d', -2.0, ''), ('e', 7.0, 'x')) AS t(member, score, data)")
+def cmd_zincrby(spark, d):
+    s = Session(spark)
+    for line in ("ZADD z 6 c", "ZINCRBY z 2 a ADD negresult d", "ZINCRBY z 3 b DATA x ADD 7 e", """ZINCRBY z 2 c DF "concat('a-', cast(score AS INT), '-', cast(by AS INT))" """):
+        s.run(line)
+    return s.z.select("member", "score", F.coalesce("data", F.lit("")).alias("data"))
+
+
+_DAYS = "SELECT DISTINCT 'user:' || user_id AS key, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS bit FROM events"
+
+
+def _days(spark, d) -> DataFrame:
+    """The days of each user's events, as bitmaps in data."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    bits = M.table(spark, d, "events").groupBy(F.concat(F.lit("user:"), "user_id").alias("key")).agg(bits_agg(day).alias("bits"))
+    return bits.select("key", F.lit("days").alias("member"), F.lit(0.0).alias("score"), F.lower(F.hex(to_bitmap("bits"))).alias("data"))
+
+
+@query(f"SELECT key, bit FROM ({_DAYS}) WHERE bit BETWEEN 3 AND 12")
+def zdata_bm16(spark, d):
+    z = _days(spark, d)
+    return lookup.zdata_bm16(lookup.with_bits(z), z.select(F.lit(0).alias("pos"), "key", "member"), 3, 12).select("key", "bit")
+
+
+@query(f"SELECT DISTINCT key FROM ({_DAYS}) WHERE bit IN (4, 70)")
+def match_bm16(spark, d):
+    z = _days(spark, d)
+    return z.where(match_expr("\\bm16{4,70}", F.col("member"), F.col("data"))).select("key")
+
+
+@query("SELECT bit FROM (VALUES (3), (9), (500)) AS t(bit)")
+def cmd_bm16(spark, d):
+    s = Session(spark)
+    for line in ("ZADD z BM16 1 a 9 1 a 500", "ZINCRBY z 1 a BM16 3", "ZADD z BM16 1 a 9"):
+        s.run(line)
+    return s.run("ZDATABM16 z a 0 0").select(F.col("bit"))
+
+
+@query("SELECT key, member FROM zc WHERE regexp_matches(member, '^c[0-9]?5$') OR regexp_matches(member, '^c12[^/]*$')", "zc")
+def match_path(spark, d):
+    z = M.zc(spark, d)
+    return z.where(match_expr("\\or{\\match{c?5}\\match{c5}\\match{c12*}}", F.col("member"), None, "member")).select("key", "member")
+
+
+@query("SELECT n_nationkey FROM nation WHERE contains(n_name, 'AN') AND n_nationkey < 100")
+def match_pb(spark, d):
+    """Messages of a number (field 1) and a name (field 2), by the name."""
+    n = M.table(spark, d, "nation")
+    size = lambda c: F.unhex(F.lpad(F.hex(F.octet_length(c)), 2, "0"))
+    raw = F.concat(F.unhex(F.lit("08")), F.unhex(F.lpad(F.hex(F.col("n_nationkey")), 2, "0")), F.unhex(F.lit("12")), size(F.col("n_name")), F.col("n_name").cast("binary"))
+    return n.where(match_expr("\\pb:2s{\\term{AN}}", F.lit(""), raw.cast("string"))).select("n_nationkey")
+
+
+@query("SELECT 'region:' || r_regionkey AS key, r_name AS outer_name, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey) FILTER (n_nationkey < 12), '') AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def fanout_nested(spark, d):
+    """Regions with their nations below 12, as a tree."""
+    r = M.table(spark, d, "region").select(F.lit("all").alias("key"), F.concat(F.lit("region:"), "r_regionkey").alias("member"), F.col("r_regionkey").cast("double").alias("score"), F.col("r_name").alias("data"))
+    tree = joins.nested(joins.fanout(r, M.zn(spark, d), 0, 12, 100))
+    return tree.select(F.col("member").alias("key"), F.col("data").alias("outer_name"), F.array_join(F.transform("children", lambda x: x["data"]), ",").alias("names"))

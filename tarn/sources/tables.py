@@ -12,8 +12,11 @@ from tarn.functions.match import match_expr
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the session names as shared; in a temporary one where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A new place in the folder that the session names as shared; in a temporary one of this machine where it names none, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/tarn-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -22,6 +25,18 @@ def snapshot(z: DataFrame, path: str) -> None:
     z.repartitionByRange("key", "score").sortWithinPartitions("key", "score", "member").write.mode("overwrite").parquet(path)
 
 
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """The sorted sets of a snapshot."""
+    return spark.read.schema("key string, member string, score double, data string").parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again, so that what led to it is not planned again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_rows(z: DataFrame, from_key: str | None = None, to_key: str | None = None, low: float = float("-inf"), high: float = float("inf"), match: str | None = None, with_data: bool = False) -> DataFrame:
     """Rows of all keys from..to with a score in low..high (both ends included): key, score, member and, if asked for, data."""
     out = z.where((F.col("score") >= low) & (F.col("score") <= high))

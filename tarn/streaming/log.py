@@ -27,7 +27,7 @@ def append(cmds: DataFrame, path: str) -> None:
 
 def checked(log: DataFrame) -> DataFrame:
     """Rows whose crc is right, once for each shard and id: a batch that comes twice changes nothing."""
-    return log.where(F.col("crc") == _crc()).dropDuplicates(["shard", "id", "member"])
+    return log.where(F.col("crc") == _crc()).dropDuplicates(["shard", "id", "pos"])
 
 
 def replay(z: DataFrame, log: DataFrame) -> DataFrame:
@@ -42,12 +42,16 @@ def follow(spark: SparkSession, path: str, state: str, checkpoint: str, files_pe
     """A streaming query that folds each new batch of the log at `path` into the next version of the table under `state`.
 
     A version is a folder named by its batch; a batch that is repeated after a failure writes the same version again from
-    the one before, so commands are applied once. Start it with trigger {"availableNow": True} to catch up and end.
+    the one before. With each version goes the last id applied of each shard, and rows up to it are passed over, so commands that
+    are appended again in another file are applied once; the files of a shard come in order of id. Start it with trigger {"availableNow": True} to catch up and end.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        before = version(spark, state, number - 1)
-        replay(before, batch).write.mode("overwrite").parquet(f"{state}/v={number:012d}")
+        before, last = version(spark, state, number - 1), applied(spark, state, number - 1)
+        new = batch.join(last, "shard", "left").where("last IS NULL OR id > last").select(*batch.columns)
+        replay(before, new).write.mode("overwrite").parquet(f"{state}/v={number:012d}")
+        ids = last.union(batch.where(F.col("crc") == _crc()).select("shard", F.col("id").alias("last")))
+        ids.groupBy("shard").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{state}/ids={number:012d}")
 
     source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -58,6 +62,12 @@ def version(spark: SparkSession, state: str, number: int) -> DataFrame:
     return spark.createDataFrame([], schema) if number < 0 else spark.read.schema(schema).parquet(f"{state}/v={number:012d}")
 
 
+def applied(spark: SparkSession, state: str, number: int) -> DataFrame:
+    """shard, last: the last id of each shard in a version."""
+    schema = "shard int, last long"
+    return spark.createDataFrame([], schema) if number < 0 else spark.read.schema(schema).parquet(f"{state}/ids={number:012d}")
+
+
 def latest(spark: SparkSession, state: str) -> DataFrame:
     """The newest version; an empty table before the first."""
     jvm = spark.sparkContext._jvm
