@@ -20,9 +20,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one where it names none (tests)."""
+    """The folder that all executors share, as the session names it; in local mode a temporary one where it names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
