@@ -81,9 +81,13 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, how: str, most_rows: int = 1_000_000) -> DataFrame:
-    """Semi (`left_semi`) or anti (`left_anti`) join on doc_id with a stored list of ids, which is broadcast only up to `most_rows` rows."""
-    return docs.join(bounded_broadcast(ids.select("doc_id"), most_rows), "doc_id", how).select(*docs.columns)
+def without_rows(docs: DataFrame, gone: DataFrame, number, most_rows: int = 1_000_000) -> DataFrame:
+    """`docs` but for the rows whose number (an expression over `docs`) is in the stored list `gone` (row), which is broadcast only up to `most_rows` rows."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    gone = gone.select(F.col("row").alias(name))
+    return docs.withColumn(name, number).join(bounded_broadcast(gone, most_rows), name, "left_anti").select(*docs.columns)
 
 
 #: Bits of a filter over hashes: at least, and at most (32 MB).

@@ -91,7 +91,7 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_hit (words inside any occurrence of a window of `length` item words), item_ids (sorted as strings), n_items.
+    """Per row of `docs`: doc_id, n_words, n_hit (words inside any occurrence of a window of `length` item words), item_ids (sorted as strings), n_items, row (its number by `monotonically_increasing_id`).
 
     An item of fewer words, but not none, is one window; null and empty texts have no words; items of a null id are
     searched but not listed; items of one id count once; an empty table on either side gives no hits.
@@ -104,10 +104,11 @@ def contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFra
     which = found.select("row", "item").distinct().join(bounded_broadcast(names, MOST_ROWS), "item").groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     out = index.documents().join(hits, "row", "left").join(which, "row", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), "row")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -52,16 +52,23 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per row of `docs`: doc_id, keep_id, group_size (rows of this text in `docs`), kept, digest."""
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", number=None) -> DataFrame:
+        """One row per row of `docs`: doc_id, keep_id, group_size (rows of this text in `docs`), kept, digest.
+
+        With `number`, an expression that numbers the rows of `docs` (given back as row), exactly one row of each text is kept: of repeated
+        rows of the id that keeps it, or of null ids alone, that of the least number.
+        """
         text = F.regexp_replace(text_of(text_col), SPACES, " ")
-        digests = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-        groups = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+        row = [number.alias("row")] if number is not None else []
+        digests = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), *row), "digests")
+        first = [F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row"))["row"].alias("first_row")] if row else []
+        groups = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"), *first)
         fresh = groups.join(self.table().hint("merge"), "digest", "left_anti")
         fresh.select("digest", "first_id").write.insertInto(self.name)
         # stored, so that the join below has a plain shuffle on each side, whose hot digests are split at run time
-        named = staged(groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "digest-groups")
-        return digests.join(named.hint("merge"), "digest").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "digest")
+        named = staged(groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size", *["first_row"] * len(first)), "digest-groups")
+        kept = "doc_id <=> keep_id AND row = first_row" if row else "doc_id <=> keep_id"
+        return digests.join(named.hint("merge"), "digest").select("doc_id", "keep_id", "group_size", F.expr(kept).alias("kept"), "digest", *["row"] * len(row))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

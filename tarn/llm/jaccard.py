@@ -330,6 +330,11 @@ def _within(batches):
         yield emit(*rest, len(rest[1]))
 
 
+def row_number_of(doc_id, text):
+    """What names a row in the results: repeated rows (same id and text) have one name."""
+    return F.xxhash64(doc_id, text)
+
+
 class Join:
     """What is known of the sets of all texts: `rows` (a row for each document), `sets` (a row for each distinct set), `members` (of tiles)."""
 
@@ -337,10 +342,11 @@ class Join:
         spark = docs.sparkSession
         small_batches(spark)
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-        self.base = base.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+        self.base = base.select(row_number_of("doc_id", "text").alias("row"), "doc_id", "text")
         measured = staged(self.base.mapInArrow(_measure, "row long, doc_id long, n long, s long, sign binary, long_sign binary, slice int, counters binary"), "measured")
-        self.rows = measured.where("n IS NOT NULL").select("doc_id", "n", "s")
-        one = [F.min("row").alias("row"), F.min("doc_id").alias("first_id"), F.first("sign").alias("sign"), F.first("long_sign").alias("long_sign")]
+        self.rows = measured.where("n IS NOT NULL").select("row", "doc_id", "n", "s")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first")
+        one = [F.min("row").alias("row"), first, F.first("sign").alias("sign"), F.first("long_sign").alias("long_sign")]
         self.sets = staged(measured.where("s IS NOT NULL").groupBy("s").agg(*one), "sets")
         total = self.rows.agg(F.sum(F.col("n") * (100 - LEAST) / 100 + 1)).head()[0] or 0
         bits = max(int(np.ceil(np.log2(total / PER_TASK + 1))), int(np.ceil(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
@@ -417,12 +423,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """All links between distinct sets: a, b (the least doc_id of each set; a row for each two sets). Their number grows with the square of a group of near copies; see `similar` for the rest."""
     join = Join(docs, id_col, text_col)
     pairs = join.linked(join.all_pairs(None).select("a", "b", "na", "nb"), "all")
-    ids = lambda x: join.sets.select(F.col("s").alias(x), F.col("first_id").alias(f"id_{x}")).hint("merge")
+    ids = lambda x: join.sets.select(F.col("s").alias(x), F.col("first.doc_id").alias(f"id_{x}")).hint("merge")
     return pairs.distinct().join(ids("a"), "a").join(ids("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) per row of `docs`.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), row (`row_number_of` it), kept (whether it is the first of its component, ids in order and null last) per row of `docs`.
 
     1. Each text becomes its sorted distinct shingle hashes, whose hash names the set; equal sets are one from here on.
     2. Every set posts its rarest shingles (by counters of shingles and words over all documents); sets with a common one share a tile. A worker joins what it holds
@@ -439,15 +445,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     join = Join(docs, id_col, text_col)
     found = components(join.near(), "near-components")
     more = components(join.linked(join.all_pairs(found), "late", ("ca", "cb")).toDF("a", "b"), "late-components")
-    of_set = join.sets.select("s", "first_id").join(found.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").select("s", "first_id", F.coalesce("component", "s").alias("comp"))
-    of_set = of_set.join(more.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left").select("s", "first_id", F.coalesce("component", "comp").alias("comp"))
+    of_set = join.sets.select("s", "first").join(found.select(F.col("node").alias("s"), "component").hint("merge"), "s", "left").select("s", "first", F.coalesce("component", "s").alias("comp"))
+    of_set = of_set.join(more.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left").select("s", "first", F.coalesce("component", "comp").alias("comp"))
     of_set = staged(of_set, "set-components")
-    least = of_set.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    label = staged(of_set.join(least.hint("merge"), "comp").select("s", "component_id"), "set-labels")
+    least = of_set.groupBy("comp").agg(F.min("first").alias("least"))
+    label = staged(of_set.join(least.hint("merge"), "comp").select("s", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first_row")), "set-labels")
     out = join.rows.join(label.hint("merge"), "s", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("s").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("s").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row", (alone | (F.col("row") == F.col("first_row"))).alias("kept"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    return similar(table(spark, sf_dir, "documents"))
+    return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

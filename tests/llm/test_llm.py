@@ -522,3 +522,31 @@ def test_forest():
             least = new
         root, node = forest(a, b)
         assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {i: int(x) for i, x in enumerate(least) if x != i}
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null, repeated and clashing ids, empty tables and extra columns in every stage."""
+    import corpus_pipeline
+    from tarn.llm.common import staged
+
+    stages = dict(corpus_pipeline.STAGES)
+    item = "one two three four five six seven eight nine ten"
+    near = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(1, item), (None, "x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(5, "same"), (5, "same"), (7, "same"), (None, "same"), (None, "alone"), (None, "alone"), (8, None), (8, ""), (9, near), (9, near + " v"), (None, near + " u"), (3, f"a {item} b"), (3, "clean words here"), (None, f"{item} c"), (4, "x" * 200_000)]
+    docs = staged(documents(spark, rows), "odd")
+    got = lambda name, docs: sorted((str(r["doc_id"]), r["text"]) for r in stages[name](spark, docs, f"file://{tmp_path}").collect())
+    text = lambda *keep: sorted((str(i), t) for i, t in keep)
+    copies = got("exact dedup", docs)
+    one = [(5, "same"), (None, "alone"), (9, near), (9, near + " v"), (None, near + " u"), (3, f"a {item} b"), (3, "clean words here"), (None, f"{item} c"), (4, "x" * 200_000)]
+    assert [x for x in copies if x[0] != "8"] == text(*one) and len(copies) == len(one) + 1
+    unique = staged(documents(spark, one + [(8, "")]), "unique")
+    assert got("n-gram Jaccard join", unique) in [sorted(text(*[x for x in one if not (x[1] or "").startswith(near)], (8, "")) + text(k)) for k in ((9, near), (9, near + " v"))]
+    assert got("benchmark decontamination", unique) == text(*[x for x in one if item not in x[1]], (8, ""))
+    kept = stages["quality classifier"](spark, docs, f"file://{tmp_path}")
+    assert kept.columns == docs.columns and set(kept.collect()) <= set(docs.collect())
+    pieces = stages["packing"](spark, docs, f"file://{tmp_path}").collect()
+    assert sum(r["doc_tokens"] for r in pieces if r["start"] == 0) == sum(r["length"] for r in pieces) and sum(r["start"] == 0 for r in pieces) == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, staged(docs.where("false"), "none"), f"file://{tmp_path}").count() == 0
