@@ -236,7 +236,7 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert back.where("NOT sound").count() == 0
     a, b, _ = warc.trees(ours, back, fanout=4)
     assert a.root() == b.root() and warc.audit(a, b).count() == 0
-    broken = back.where("page_id IS NULL OR page_id != 2").withColumn("record", F.when(F.col("page_id") == 90, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
+    broken = back.where("page_id IS NULL OR page_id != 2").withColumn("record", F.when(F.col("page_id") == 90, F.concat("record", F.lit(b"!"))).otherwise(F.col("record")))
     broken = broken.unionByName(back.where("page_id = 1").withColumn("page_id", F.lit(7).cast("long")))
     a, b, zero = warc.trees(ours, broken, fanout=4)
     assert {(r["idx"] + zero, r["state"]) for r in warc.audit(a, b).collect()} == {(2, "missing"), (90, "corrupt"), (7, "extra")}
@@ -246,6 +246,24 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert warc.audit(*none[:2]).count() == 0 and none[0].root() is None
 
 
+def test_warc_foreign(spark, tmp_path):
+    """Files of other writers: a gzip member for each record, blocks with marks and any bytes, other fields; broken ones are passed over."""
+    import gzip
+
+    blocks = [b"\x00\xff\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\nabcde", b"", b"plain"]
+    raw = [b"WARC/1.1\r\nContent-Length: %d\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: http://x/\r\n\r\n%b\r\n\r\n" % (len(x), i, x) for i, x in enumerate(blocks)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
+    (tmp_path / "w/b.warc").write_bytes(raw[2].replace(b": 5", b": 7") + raw[0])
+    (tmp_path / "w/c.warc").write_bytes(b"")
+    got = [(r["page_id"], bytes(r["record"]).split(b"\r\n\r\n", 1)[1], r["sound"]) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()]
+    good = [(i, x, True) for i, x in enumerate(blocks)]
+    assert sorted(x for x in got if x[2]) == sorted([*good, good[0]]) and [x[0] for x in got if not x[2]] == [2]
+    assert list(warc.parse(raw[0] + raw[1])) == [(x.split(b"\r\n\r\n", 1)[0], y, True) for x, y in zip(raw, blocks[:2])]
+    with pytest.raises(Exception, match="too large"):
+        warc.read_warc(spark, f"file://{tmp_path}/w", 20).count()
+
+
 def test_proximity(spark):
     docs = documents(spark, [(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "gamma beta alpha")])
     terms = decontaminate.item_terms(spark.createDataFrame([(1, "Alpha BETA gamma")], "item_id long, text string"))
