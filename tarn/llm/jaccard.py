@@ -19,9 +19,9 @@ SHINGLE, LEAST = 5, 75
 #: Counters of how often shingles and words occur, and the slices in which they are summed up; bits of a signature, and at most of a long one.
 COUNTERS, SLICES, BITS, LONG = 1 << 20, 256, 1024, 1 << 17
 #: Postings that a worker holds before it passes them on, and that one task of the next stage is to get.
-HELD, PER_TASK = 2_000_000, 1_000_000
+HELD, PER_TASK = 1_000_000, 1_000_000
 #: Sets of a tile that are compared in one block; tiles of a set that are known to each of its rows; pairs looked at at once.
-BLOCK, HEADS, AT_ONCE = 512, 8, 1 << 18
+BLOCK, HEADS, AT_ONCE = 512, 8, 1 << 16
 
 
 def _words(texts: list[str | None]):
