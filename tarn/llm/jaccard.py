@@ -214,11 +214,16 @@ def _meet(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[k].view("<i8") if k == "h" else x[k].astype("<i8")) for k in _MEMBER.names], list(_MEMBER.names))
 
 
-def _needed(batches):
-    """(text) -> the name and the items of its set."""
-    for batch in batches:
-        sets = [x for x in _sets(batch.column(0).to_pylist()) if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["s", "items"])
+def _needed(bits):
+    """(row, text) -> the names and the items of the sets of rows that the filter lets through."""
+
+    def run(batches):
+        for batch in batches:
+            at = pa.array(np.flatnonzero(hits(bits.value, batch.column(0).to_numpy())))
+            sets = [x for x in _sets(batch.column(1).take(at).to_pylist()) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["s", "items"])
+
+    return run
 
 
 def _enough(na: np.ndarray, nb: np.ndarray, common) -> np.ndarray:
@@ -364,14 +369,7 @@ class Join:
         # the arrays come from the texts again; a filter of bounded size keeps most other texts out
         rows = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row"))
         bits = spark.sparkContext.broadcast(bit_filter(rows, "row", filter_bits(2 * pairs.count())))
-
-        @F.pandas_udf("boolean")
-        def needed(row):
-            import pandas as pd
-
-            return pd.Series(hits(bits.value, row.to_numpy()))
-
-        sets = staged(self.base.where(needed("row")).select("text").mapInArrow(_needed, "s long, items binary"), f"{name}-sets")
+        sets = staged(self.base.select("row", "text").mapInArrow(_needed(bits), "s long, items binary"), f"{name}-sets")
         left, right = (sets.select(F.col("s").alias(x), F.col("items").alias(f"items_{x}")).dropDuplicates([x]).hint("merge") for x in "ab")
         both = pairs.drop("row_a", "row_b").join(left, "a").join(right, "b").select("items_a", "items_b", *keep)
         return staged(both.mapInArrow(_exact, f"{keep[0]} long, {keep[1]} long"), f"{name}-links")
