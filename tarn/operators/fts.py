@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources.tables import stored
+
 _CATEGORIES = {"Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "Mn", "Mc", "Nd", "Pc"}
 
 
@@ -96,11 +98,12 @@ def ranked(posts: DataFrame, terms: list[str], count: int = 65535) -> DataFrame:
 
     A term's weight is ln(total / df), with df one more than its documents and total the sum of all df (1 of a single term); a score is the sum of
     tf * weight, times (share of terms met) ** 2.5, times the size of the smallest list over that of the smallest list that holds the document.
+    The postings of the terms are stored at once, so that texts are read and cut into words once.
     """
     parsed = parse_terms(terms)
     times = Counter(t for t, _ in parsed)
     marks = dict(parsed)
-    own = posts.where(F.col("term").isin(list(times)))
+    own = stored(posts.where(F.col("term").isin(list(times))), "postings")
     card = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each query term
     total = sum((card.get(t, 0) + 1) * k for t, k in times.items())
     sizes = [n for n in card.values() if n]

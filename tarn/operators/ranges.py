@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarn.functions.bounds import lex_between, score_between
 from tarn.functions.match import match_expr
 from tarn.model import HARD_LIMIT
+from tarn.sources.tables import stored
 
 
 def order(rev: bool = False, lex: bool = False) -> list[Column]:
@@ -48,23 +49,44 @@ def zrangebylex(z, low, high, *, keys=None, rev=False, limit=None, match=None, w
     return out if limit is None else top(out, min(limit, HARD_LIMIT), order(rev, lex=True))
 
 
+def numbered(z: DataFrame, by: list[Column]) -> DataFrame:
+    """Rows with `rank`, their position in their key (never null) from 0; no task holds a whole key.
+
+    Rows are dealt by intervals of (key, order) and stored; each is numbered within its interval, from what the intervals of its key before it hold.
+    """
+    dealt = stored(z.repartitionByRange("key", *by).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("key", "_part", (F.sum("_n").over(W.partitionBy("key").orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("key", "_part").orderBy(*by)) - 1)
+    return own.join(before, ["key", "_part"]).withColumn("rank", (F.col("_own") + F.col("_before")).cast("long")).select(*z.columns, "rank")
+
+
+def _first(z: DataFrame, n: int, by: list[Column]) -> DataFrame:
+    """`top`, with the rank."""
+    rank = F.row_number().over(W.partitionBy("key").orderBy(*by))
+    return z.withColumn("_n", rank).where(F.col("_n") <= max(0, n)).withColumn("rank", (F.col("_n") - 1).cast("long")).drop("_n")
+
+
 def zrange(z, start: int, stop: int, *, keys=None, rev=False, limit=None, with_data=False) -> DataFrame:
     """Rows by position, from start to stop, both included and from the end where negative; adds rank.
 
-    With both ends counted from the front, only the first stop + 1 rows of a task are shuffled.
+    Where an end or a limit bounds the rows of a key, only so many rows of a task are shuffled, counted from the front or the back; a position from the other
+    side takes a count of the key. From a front position to one from the end, without a limit, all rows are numbered (`numbered`).
     """
     out = _only(z, keys).select("key", "member", "score", *(["data"] if with_data else []))
-    w = W.partitionBy("key").orderBy(*order(rev))
-    out = out.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
-    if start >= 0 and stop >= 0:
-        out = out.where((F.col("rank") <= stop) & (F.col("rank") >= start))
+    counts = out.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    most = None if limit is None else min(limit, HARD_LIMIT)
+    if start < 0 and stop < 0:
+        out = _first(out, -start, order(not rev)).where(F.col("rank") >= -stop - 1)
+        out = out.join(counts, "key").withColumn("rank", F.col("_n") - 1 - F.col("rank")).drop("_n")
+    elif stop >= 0:
+        out = _first(out, stop + 1, order(rev))
+        out = out.where(F.col("rank") >= start) if start >= 0 else out.join(counts, "key").where(F.col("rank") >= F.col("_n") + start).drop("_n")
     else:
-        n = F.count(F.lit(1)).over(W.partitionBy("key"))
-        out = out.withColumn("_n", n)
-        low = F.greatest(F.lit(start) + F.col("_n"), F.lit(0)) if start < 0 else F.lit(start)
-        high = F.lit(stop) + F.col("_n") if stop < 0 else F.lit(stop)
-        out = out.where((F.col("rank") >= low) & (F.col("rank") <= high)).drop("_n")
-    return out if limit is None else top(out, min(limit, HARD_LIMIT), [F.col("rank")])
+        ranked = numbered(out, order(rev)) if most is None else _first(out, start + most, order(rev))
+        ranked = ranked.where(F.col("rank") >= start)
+        out = ranked if stop == -1 else ranked.join(counts, "key").where(F.col("rank") <= F.col("_n") + stop).drop("_n")
+    return out if most is None else top(out, most, [F.col("rank")])
 
 
 def zcount(z, low, high, *, lex=False, match=None, compat=False) -> DataFrame:
@@ -85,14 +107,16 @@ scard = zcard
 
 
 def zrank(z, *, rev=False, max_rank: int | None = None) -> DataFrame:
-    """key, member, rank (from 0) of all members, or of those up to max_rank."""
-    rank = (F.row_number().over(W.partitionBy("key").orderBy(*order(rev))) - 1).cast("long")
-    out = z.select("key", "member", "score").withColumn("rank", rank).drop("score")
-    return out if max_rank is None else out.where(F.col("rank") <= max_rank)
+    """key, member, rank (from 0) of all members (`numbered`), or of those up to max_rank, which alone are shuffled."""
+    out = z.select("key", "member", "score")
+    ranked = numbered(out, order(rev)) if max_rank is None else _first(out, max_rank + 1, order(rev))
+    return ranked.drop("score")
 
 
 def zrank_of(z, requests: DataFrame, *, rev=False, max_rank: int | None = None) -> DataFrame:
-    """key, member, rank of requested (key, member): counts the rows in front, with no sort of a whole key; null if missing or beyond max_rank, where one is given."""
+    """key, member, rank of requested (key, member): counts the rows in front, with no sort of a whole key; null if missing or beyond max_rank, where one is given.
+
+    Each request meets all rows of its key: for many requests, join them with `zrank`."""
     asked = requests.select("key", "member").distinct()
     own = asked.join(z.select("key", "member", F.col("score").alias("own")), ["key", "member"])
     ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("other") > F.col("member")))

@@ -168,7 +168,9 @@ class Session:
         by = [F.col("rank")] if name.endswith("RANGE") else ranges.order(rev, lex)
         limit = LIMITS["hard_limit"] if f.limit is None else max(0, f.limit)
         if name.endswith("RANGE"):
-            out = ranges.zrange(own, int(a), int(b), rev=rev, with_data=True)
+            # filters come before the limit
+            filtered = f.union or f.intersect or f.notintersect or f.blooms or f.two_hops is not None
+            out = ranges.zrange(own, int(a), int(b), rev=rev, limit=None if filtered else limit, with_data=True)
         else:
             for k in f.union:
                 own = own.unionByName(self._of(k))

@@ -418,6 +418,12 @@ _search("zri_excluded", ["the", "-with", "of"])
 _search("zri_single", ["und"])
 
 
+@query(None)
+def zri_any(spark, d):
+    """By the tokens of any script, whose rules SQL has not."""
+    return fts.ranked(fts.postings_any(M.table(spark, d, "documents")), ["+fü", "ür", "und"], count=2**31 - 1).select("doc", F.round("score", 9).alias("score"))
+
+
 @query("""SELECT m.name, m.minute, coalesce(v, 0) AS value FROM (
 SELECT name, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS minute FROM (SELECT event_type AS name, min(date_trunc('minute', ts)) AS a, max(date_trunc('minute', ts)) AS b FROM events GROUP BY event_type)) m
 LEFT JOIN (SELECT event_type AS name, date_trunc('minute', ts) AS minute, arg_max(value, ts) AS v FROM events GROUP BY 1, 2) e ON e.name = m.name AND e.minute = m.minute""")

@@ -1,12 +1,15 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.keys import concat_key
 from tarn.model import HARD_LIMIT
 from tarn.operators import fts, joins, lookup, metrics, mutate, ranges, scan
 from tarn.plans.command import Session
+from tarn.queries import QUERIES
 from tarn.sources import tables
 from tarn.streaming import log
 
@@ -39,6 +42,27 @@ def test_zrange(z, span, rev):
         assert got == [(i, *want[i]) for i in range(n) if a <= i <= b]
 
 
+@pytest.mark.parametrize("rev", [False, True])
+def test_zrange_with_limit(z, rev):
+    for span in ((1, -2), (0, -1), (-3, -1), (-100, 5)):
+        want = rows(ranges.zrange(z, *span, rev=rev), "key", "rank", "member")
+        assert rows(ranges.zrange(z, *span, rev=rev, limit=2), "key", "rank", "member") == [r for k in "ab" for r in [x for x in want if x[0] == k][:2]]
+
+
+def test_ranges_shuffle_no_more_than_asked(z):
+    for df in (ranges.zrange(z, 0, 2), ranges.zrange(z, -3, -1), ranges.zrange(z, -9, 3), ranges.zrange(z, 1, -1, limit=5), ranges.zrank(z, max_rank=7)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered(spark):
+    """A key that holds most rows, over many intervals, with ties of scores."""
+    z = spark.range(3000).selectExpr("if(id % 10 = 0, concat('k', id % 7), 'hot') AS key", "cast(id * 7919 % 3001 AS string) AS member", "cast(id % 5 AS double) AS score")
+    for by in (ranges.order(), ranges.order(True)):
+        want = z.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*by)) - 1)
+        assert rows(ranges.numbered(z, by), "key", "member", "rank") == rows(want, "key", "member", "rank")
+    assert ranges.numbered(z.where("false"), ranges.order()).count() == 0
+
+
 def test_limits_and_counts(z):
     assert ranges.zrangebyscore(z, "-inf", "+inf", limit=0).count() == 0
     assert rows(ranges.zrangebyscore(z, "+inf", "-inf", rev=True, limit=1), "key", "member") == [("a", "m7"), ("b", "m1")]
@@ -161,6 +185,21 @@ def test_ranked_markers(spark):
         fts.parse_terms(["+"])
 
 
+def test_zri_any(spark, sf_dir):
+    terms, needed = ["fü", "ür", "und"], "fü"
+    docs = {str(r["doc_id"]): fts.tokenize(r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    card = {t: sum(t in x for x in docs.values()) for t in terms}
+    total = sum(card[t] + 1 for t in terms)
+    want = {}
+    for doc, x in docs.items():
+        met = [t for t in terms if t in x]
+        if needed in met:
+            s = sum(x[t] * math.log(total / (card[t] + 1)) for t in met)
+            want[doc] = s * (len(met) / len(terms)) ** 2.5 * min(n for n in card.values() if n) / min(card[t] for t in met)
+    got = {r["doc"]: r["score"] for r in QUERIES["zri_any"](spark, sf_dir).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=2e-9) for k, v in want.items())
+
+
 def test_metrics(spark):
     m = spark.sql("SELECT * FROM VALUES ('q', timestamp'2024-01-01 00:00:05', 1D), ('q', timestamp'2024-01-01 00:00:50', 3D), ('q', timestamp'2024-01-01 00:03:00', double('NaN')) AS t(name, ts, value)")
     assert [r["value"] for r in metrics.fill_series(m).orderBy("minute").collect()] == [3.0, 0.0, 0.0, 0.0]
