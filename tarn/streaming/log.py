@@ -41,30 +41,42 @@ def retained(log: DataFrame, now_seconds: int, ttl: int = 86_400) -> DataFrame:
 def follow(spark: SparkSession, path: str, state: str, checkpoint: str, files_per_batch: int = 1000, trigger: dict | None = None):
     """A streaming query that folds each new batch of the log at `path` into the next version of the table under `state`.
 
-    A version is a folder named by its batch; a batch that is repeated after a failure writes the same version again from
-    the one before. With each version goes the last id applied of each shard, and rows up to it are passed over, so commands that
+    A version is a list (`applied`) of the shards with the last id applied and the batch that wrote them: a batch reads and writes only the shards
+    that it has commands for. A batch that is repeated after a failure writes the same version again from the one before. Commands up to the last id of their shard are passed over, so those that
     are appended again in another file are applied once; the files of a shard come in order of id. Start it with trigger {"availableNow": True} to catch up and end.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        before, last = version(spark, state, number - 1), applied(spark, state, number - 1)
+        last = applied(spark, state, number - 1)
         new = batch.join(last, "shard", "left").where("last IS NULL OR id > last").select(*batch.columns)
-        replay(before, new).write.mode("overwrite").parquet(f"{state}/v={number:012d}")
-        ids = last.union(batch.where(F.col("crc") == _crc()).select("shard", F.col("id").alias("last")))
-        ids.groupBy("shard").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{state}/ids={number:012d}")
+        touched = [r["shard"] for r in new.where(F.col("crc") == _crc()).select("shard").distinct().collect()]  # SHARDS at most
+        if touched:
+            after = replay(version(spark, state, number - 1, touched), new).withColumn("shard", shard(F.col("key")))
+            after.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{state}/v={number:012d}")
+        ids = last.union(new.where(F.col("crc") == _crc()).select("shard", F.col("id").alias("last"), F.lit(number).cast("long").alias("v")))
+        ids.groupBy("shard").agg(F.max("last").alias("last"), F.max("v").alias("v")).coalesce(1).write.mode("overwrite").parquet(f"{state}/ids={number:012d}")
 
     source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def version(spark: SparkSession, state: str, number: int) -> DataFrame:
+def version(spark: SparkSession, state: str, number: int, shards: list[int] | None = None) -> DataFrame:
+    """The table after batch `number`, or these shards of it, each from the batch that wrote it last; empty before the first."""
+    wrote: dict[int, list[int]] = {}
+    for r in applied(spark, state, number).collect():
+        if shards is None or r["shard"] in shards:
+            wrote.setdefault(r["v"], []).append(r["shard"])
     schema = "key string, member string, score double, data string"
-    return spark.createDataFrame([], schema) if number < 0 else spark.read.schema(schema).parquet(f"{state}/v={number:012d}")
+    out = spark.createDataFrame([], schema)
+    for v, some in sorted(wrote.items()):
+        part = spark.read.schema(f"{schema}, shard int").parquet(f"{state}/v={v:012d}")
+        out = out.union(part.where(F.col("shard").isin(some)).drop("shard"))
+    return out
 
 
 def applied(spark: SparkSession, state: str, number: int) -> DataFrame:
-    """shard, last: the last id of each shard in a version."""
-    schema = "shard int, last long"
+    """shard, last, v: the last id of each shard in a version, and the batch that wrote the shard."""
+    schema = "shard int, last long, v long"
     return spark.createDataFrame([], schema) if number < 0 else spark.read.schema(schema).parquet(f"{state}/ids={number:012d}")
 
 
@@ -73,8 +85,8 @@ def latest(spark: SparkSession, state: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(state)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-    return version(spark, state, max((int(x[2:]) for x in found if x.startswith("v=")), default=-1))
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{state}/ids=*/_SUCCESS"))
+    return version(spark, state, max((int(x.getPath().getParent().getName()[4:]) for x in done or []), default=-1))
 
 
 def windowed_rates(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -376,6 +376,21 @@ def test_log_twice(spark, tmp_path):
     assert rows(log.latest(spark, f"{base}/state"), "member", "score") == [("m", 7.0), ("n", 1.0)]
 
 
+def test_versions_by_shard(spark, tmp_path):
+    """A batch writes the shards of its own commands; one that empties a shard leaves none of its rows."""
+    base = f"file://{tmp_path}"
+    batches = ([(1, "a", "m", 1.0, "zadd"), (2, "b", "m", 2.0, "zadd")], [(3, "a", "n", 3.0, "zadd")], [(4, "a", None, 0.0, "del")], [(5, "a", "o", 5.0, "zadd"), (6, "b", "m", 6.0, "zadd")])
+    want = ([("a", "m", 1.0), ("b", "m", 2.0)], [("a", "m", 1.0), ("a", "n", 3.0), ("b", "m", 2.0)], [("b", "m", 2.0)], [("a", "o", 5.0), ("b", "m", 6.0)])
+    wrote = []
+    for cmds, now in zip(batches, want, strict=True):
+        log.append(spark.createDataFrame(cmds, "seq long, key string, member string, score double, op string"), f"{base}/log")
+        log.follow(spark, f"{base}/log", f"{base}/state", f"{base}/cp").awaitTermination()
+        assert rows(log.latest(spark, f"{base}/state"), "key", "member", "score") == now
+        wrote.append(sorted(r["v"] for r in log.applied(spark, f"{base}/state", len(wrote)).collect()))
+    assert wrote == [[0, 0], [0, 1], [0, 2], [3, 3]]
+    assert rows(log.version(spark, f"{base}/state", 1), "key", "member", "score") == want[1]
+
+
 def test_snapshot(spark, z, tmp_path):
     tables.snapshot(z, f"file://{tmp_path}/s")
     assert rows(tables.restore(spark, f"file://{tmp_path}/s"), "key", "member", "score") == rows(z, "key", "member", "score")
